@@ -39,20 +39,13 @@ def source_targets(ws: Workspace, sized: DataFrame, weights: tuple[int, ...] = (
     pick = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("one_before") % len(weights) + 1).cast("int"))
     capped = ranked.select("source", "source_size", pick.cast("bigint").alias("w"), (F.col("source_size") * most).alias("cap"))
     filled = prefix_sums(ws, capped, [(F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last()], ["cap", "w"], "shares")
-    total = filled.agg(F.sum("source_size").alias("words"), F.sum("w").alias("weight"))
-    joined = filled.crossJoin(F.broadcast(total))  # one row
-    share = (F.col("words") - F.col("cap_before")).cast("double") / (F.col("weight") - F.col("w_before"))
-    marked = joined.withColumn("full", F.col("cap") <= share * F.col("w"))
-    zero = F.lit(0).cast("bigint")
-    left = marked.agg(
-        F.max("words").alias("all_words"),
-        F.max("weight").alias("all_weight"),
-        F.sum(F.when(F.col("full"), F.col("cap")).otherwise(zero)).alias("given"),
-        F.sum(F.when(F.col("full"), F.col("w")).otherwise(zero)).alias("used"),
-    )
-    level = (F.col("all_words") - F.col("given")).cast("double") / (F.col("all_weight") - F.col("used"))
-    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(level * F.col("w"))
-    return marked.crossJoin(F.broadcast(left)).select("source", "source_size", target.alias("target"))
+    words, weight = filled.agg(F.sum("source_size"), F.sum("w")).first()
+    share = (F.lit(words or 0) - F.col("cap_before")).cast("double") / (F.lit(weight or 0) - F.col("w_before"))
+    marked = filled.withColumn("full", F.col("cap") <= share * F.col("w"))
+    given, used = marked.filter("full").agg(F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    level = float((words or 0) - given) / ((weight or 0) - used) if (weight or 0) > used else 0.0
+    target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.lit(level) * F.col("w"))
+    return marked.select("source", "source_size", target.alias("target"))
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, buckets: int = 4096, payload: list[str] | None = None) -> DataFrame:
