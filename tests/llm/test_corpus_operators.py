@@ -1,0 +1,344 @@
+"""The corpus operators against brute force, and on nulls, empty and long texts, ties, repeats and empty tables."""
+
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from lakequill.llm import chat, decontam, fingerprint, html, linededup, mixing, ngramjoin, secrets, substring, toxicity
+
+DOCS = "doc_id bigint, text string, source string"
+
+
+def prose(draw, n, vocabulary=400):
+    return " ".join(f"w{draw.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Random documents with near copies, copies, shared passages and every awkward row."""
+    draw = random.Random(1)
+    rows, passage = [], prose(draw, 30)
+    base = prose(draw, 120).split()
+    for i in range(40):  # a group of near copies around the threshold
+        words = list(base)
+        for _ in range(draw.randrange(5)):
+            words[draw.randrange(len(words))] = f"x{draw.randrange(99)}"
+        rows.append((100 + i, " ".join(words), f"s{i % 7}"))
+    rows += [(i, prose(draw, draw.randrange(1, 150)), f"s{i % 3}") for i in range(30)]
+    rows += [(200 + i, prose(draw, 40) + "\n" + passage + "\n" + prose(draw, 20), f"s{i % 5}") for i in range(8)]
+    rows += [(300, rows[45][1], "s0"), (301, None, None), (302, "", "s1"), (303, " \n\t", "s1"), (304, "one", "s2"), (305, "one", None), (306, "a b c", "s1")]
+    rows += [(307, "spam " * 300, "s1"), (308, prose(draw, 9000), "s1"), (309, "é ü " + passage + " x \U0001f600", "s9"), (309, "é ü " + passage + " x \U0001f600", "s9")]
+    return rows
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def words_of(text):
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+def awkward(spark, schema=DOCS):
+    return spark.createDataFrame([], schema)
+
+
+def test_near_copies_by_brute_force(spark, corpus, monkeypatch):
+    def check():
+        docs = spark.createDataFrame(corpus, DOCS).withColumns({"n": F.lit(1), "rep": F.lit("clash"), "k1": F.lit(None)})
+        got = sorted(tuple(r) for r in ngramjoin.join_near(docs).select("doc_id", "class_id", "n_links").collect())
+        sets = []
+        for i, text, _ in corpus:
+            w = words_of(text)
+            sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())))
+        links, leader = collections.Counter(), list(range(len(sets)))
+
+        def find(x):
+            while leader[x] != x:
+                x = leader[x]
+            return x
+
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 5 * len(x & y) >= 4 * len(x | y):
+                links[a] += 1
+                links[b] += 1
+                leader[max(find(a), find(b))] = min(find(a), find(b))
+        least = collections.defaultdict(lambda: 10**9)
+        for k, (i, _) in enumerate(sets):
+            least[find(k)] = min(least[find(k)], i)
+        assert got == sorted((i, least[find(k)], links[k]) for k, (i, _) in enumerate(sets))
+
+    check()
+    monkeypatch.setattr(ngramjoin, "BLOCK", 4)  # several blocks to a group
+    monkeypatch.setattr(ngramjoin, "SET_BLOCK", 8)
+    check()
+
+
+def test_near_copies_edges(spark):
+    assert ngramjoin.join_near(awkward(spark)).count() == 0
+    got = ngramjoin.join_near(spark.createDataFrame([(None, "a b", "s"), (2, "a b", "s"), (3, "a b", "s")], DOCS))
+    assert rows_of(got.select("doc_id", "class_id", "n_links")) == [(2, 2, 1), (3, 2, 1), (None, None, 0)]
+    kept = ngramjoin.keep_one_of_each(spark.createDataFrame([(None, "a b", "s"), (2, "a b", "s"), (2, "a b", "s"), (3, "a b", None)], DOCS))
+    assert rows_of(kept) == [(2, "a b", "s"), (None, "a b", "s")]
+
+
+def test_posterior_table():
+    least = ngramjoin.needed(0.8, 1e-9)
+    assert least[1] == 0 and 80 < least[160] < 110 and (least[1:] >= least[:-1]).all()
+
+
+@pytest.mark.parametrize("chunks", [1, 5])
+def test_substring_by_brute_force(spark, corpus, chunks):
+    draw = random.Random(2)
+    rows = corpus + [(400 + i, prose(draw, 60, 2), "s") for i in range(6)]
+    got = {}
+    for r in substring.remove_repeats(spark.createDataFrame(rows, DOCS).withColumn("chunk", F.lit("clash")), chunks=chunks).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"], r["kept"]))
+    seen, want = set(), {}
+    for i, text in sorted((i, t or "") for i, t, _ in rows):
+        w, gone = words_of(text), set()
+        for p in range(len(w) - 19):
+            key = tuple(w[p : p + 20])
+            if key in seen:
+                gone |= set(range(p, p + 20))
+            seen.add(key)
+        want.setdefault(i, []).append((len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert substring.remove_repeats(awkward(spark)).count() == 0
+
+
+def test_substring_null_id_is_first(spark):
+    t = " ".join(map(str, range(25)))
+    got = substring.remove_repeats(spark.createDataFrame([(5, t, "s"), (None, t, "s")], DOCS))
+    assert rows_of(got.select("doc_id", "n_removed")) == [(5, 25), (None, 0)]
+
+
+def test_decontamination_by_brute_force(spark, corpus):
+    draw = random.Random(3)
+    items = [(k, t) for k, t in enumerate([corpus[45][1].upper(), "Short-item, w5", "", None, prose(draw, 13), corpus[75][1], corpus[75][1], "..."])] + [(None, corpus[2][1])]
+    rows = corpus + [(500, "xx short ITEM; w5 yy", "s"), (501, prose(draw, 200, 3), "s")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame(rows, DOCS).withColumn("items", F.lit("clash"))
+    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for i, t in items:
+        w = norm(t)
+        for p in range(max(1, len(w) - 12) if w else 0):
+            windows.setdefault(tuple(w[p : p + 13]), set()).add(i)
+    want = []
+    for i, t, _ in rows:
+        w, hit, found = norm(t), set(), set()
+        for n in {len(k) for k in windows}:
+            for p in range(len(w) - n + 1):
+                if ids := windows.get(tuple(w[p : p + n])):
+                    hit |= set(range(p, p + n))
+                    found |= ids
+        want.append((i, len(w), len(hit), sorted(str(x) for x in found if x is not None)))
+    for size in (decontam.AUTOMATON_BYTES, 60):  # one automaton; several rounds
+        got = decontam.decontaminate(docs, bench, automaton_bytes=size).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == sorted(want)
+        for r in got:
+            assert sum(len(norm(r["text"][s["start"] : s["end"]])) for s in r["hits"] or []) == r["n_hit"]
+    assert decontam.decontaminate(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    assert decontam.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_line_dedup_by_brute_force(spark):
+    draw = random.Random(4)
+    lines = ["common", " common\t", "rare one", "", "only here", "wide"]
+    rows = [(i, "\n".join(draw.choice(lines) for _ in range(draw.randrange(6))), draw.choice(["a", "b", "c", None])) for i in range(40)] + [(50, None, "a"), (51, "wide", "d"), (51, "wide", "d")]
+    sites = collections.defaultdict(set)
+    for _, t, s in rows:
+        for x in (t or "").split("\n"):
+            sites[x.strip()].add(s)
+    seen, want = set(), []
+    for i, t, _ in sorted(set(rows), key=lambda r: r[0]):
+        kept = []
+        for x in (t or "").split("\n"):
+            k = x.strip()
+            if k and len(sites[k]) >= 4 and k in seen:
+                continue
+            seen |= {k} if k and len(sites[k]) >= 4 else set()
+            kept.append(x)
+        want += [(i, None if t is None else "\n".join(kept), sum(bool(x.strip()) for x in (t or "").split("\n")))] * (2 if i == 51 else 1)
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"n_lines": F.lit("clash"), "h": F.lit("clash"), "line": F.lit(1)})
+    got = linededup.dedup_lines(docs, sites=4)
+    assert rows_of(got.select("doc_id", "text", "n_lines")) == sorted(want, key=str)
+    assert linededup.dedup_lines(awkward(spark)).count() == 0
+
+
+def test_mixing(spark, corpus):
+    docs = spark.createDataFrame(corpus, DOCS).withColumns({"size": F.lit("clash"), "key": F.lit(0)})
+    got = mixing.mix_sources(docs)
+    rows = got.collect()
+    assert rows_of(got) == rows_of(mixing.mix_sources(docs.repartition(3)))
+    per = {}
+    for (_, text, source), in zip(corpus):
+        per[source] = per.get(source, 0) + len(words_of(text))
+    order = sorted((s for s in per if s is not None), key=lambda s: s.encode()) + [None] * (None in per)
+    weight, cap = {s: i % 3 + 1 for i, s in enumerate(order)}, {s: 3 * n for s, n in per.items()}
+    target, free, left = {}, set(per), sum(per.values())
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = {s for s in free if share[s] >= cap[s]}
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = cap[s]
+            left -= cap[s]
+        free -= full
+    by_size = collections.defaultdict(set)
+    for s, n in per.items():
+        by_size[n].add(round(target[s], 6))
+    assert all(round(r["target"], 6) in by_size[r["source_size"]] for r in rows)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    sums = collections.Counter()
+    for r in rows:
+        sums[(r["source_size"], r["target"])] += r["taken"]
+    assert abs(sum(sums.values()) - sum(target.values())) <= len(per)
+    assert mixing.mix_sources(awkward(spark)).count() == 0
+
+
+def test_fingerprints(spark, corpus):
+    rows = sorted(corpus, key=lambda r: (r[0], r[1] or ""))
+    got = {}
+    for r in fingerprint.fingerprint_documents(spark.createDataFrame(corpus, DOCS).withColumn("last", F.lit("clash"))).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    make = fingerprint.OrderMinHash()
+    for (i, text, _), (_, following, _) in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, following = text or "", following or ""
+        edited = fingerprint.edited_text(text, following)
+        want = (len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprint.likeness(make(text), make(edited)), fingerprint.likeness(make(text), make(following)))
+        assert want in [(r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got[i]]
+        assert fingerprint.decode_fingerprint(got[i][0]["fingerprint"]).tolist() == make(text).tolist()
+    assert fingerprint.fingerprint_documents(awkward(spark)).count() == 0
+    one = fingerprint.fingerprint_documents(spark.createDataFrame([(1, "alone here", "s")], DOCS)).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_order_matters_to_fingerprints():
+    make, draw = fingerprint.OrderMinHash(), random.Random(5)
+    parts = [prose(draw, 40) for _ in range(8)]
+    text = " ".join(parts)
+    close = fingerprint.likeness(make(text), make(text.replace("w1", "v1")))
+    swapped = fingerprint.likeness(make(text), make(" ".join(reversed(parts))))
+    assert swapped < 0.8 and fingerprint.likeness(make(text), make(text)) == 1.0 and close > 0
+    plain = make("ab" * 4000)  # repeated k-mers are numbered, so length tells
+    assert fingerprint.likeness(plain, make("ab" * 100)) < 1.0
+
+
+def test_toxicity(spark):
+    draw = random.Random(6)
+    rows = [(i, prose(draw, 40) + (" vile worm" if i % 5 == 0 else ""), "s") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (900, None, None), (901, "", "s"), (901, "", "s")], DOCS).withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, None, int(i % 5 == 0)) for i, _, _ in rows] + [(None, 1, 1), (900, 1, None)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, bits=16)
+    got = toxicity.score_toxicity(docs, model, bits=16).collect()
+    held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 and r["doc_id"] < 400]
+    assert len(got) == 403 and sum((r["score"] >= 0.3) == (r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
+    assert len({r["score"] for r in got if not r["text"]}) == 1
+    assert rows_of(docs.select(F.col("doc_id"), toxicity.held_out(F.col("doc_id")).alias("h")).filter("h")) == sorted([(i,True) for i in [*range(400), 900, 901, 901] if zlib.crc32(str(i).encode()) % 4 == 2], key=str)
+    none = toxicity.fit_toxicity(docs, labels.limit(0), bits=16)
+    assert {r["score"] for r in toxicity.score_toxicity(docs, none, bits=16).collect()} == {0.5}
+    assert toxicity.score_toxicity(docs.limit(0), model, bits=16).count() == 0
+
+
+STOP = frozenset(w for x in html.STOP_WORDS.values() for w in x.split())
+LONG = "The cat and the dog were in the house and it was all that they had for the day, " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("plain <", ""), ("<script>var a = '<p>x</p>';", ""),
+        ("<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>One &amp; two<br>three <b>bold<p>Next</article><footer>&copy; x</footer>", "Title One & two three bold Next"),
+        (f"<div class='menu'><a>x</a></div><div id=content><h2>Head</h2><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div class=sidebar>{LONG}</div><section id='comments'><p>{LONG}</p></section>", f"Head {LONG.strip()} Short one. {LONG.strip()}"),
+        (f"<header><p>{LONG}</header><main><form><p>{LONG}</p></form><aside>{LONG}</aside><p>Kept</p><div class='cookie-notice'>We use cookies</div><div style='display: none'>no</div></main>", "Kept"),
+        (f"<article><p>a \n b</p><!-- <p>no</p> --><div class=ad>buy</div><ul><li><a href=x>link only</a></li><li>item</ul><article class='comment'><p>{LONG}</p></article></article>", "a b item"),
+        ("<article><p title='a > b'>x &lt;b&gt; &#233;</p></article>", "x <b> é"),
+    ],
+)
+def test_main_text(page, text):
+    assert html.main_text(page, STOP) == text
+
+
+def test_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>a</p></article>"), (None, None, None), (2, "u", ""), (2, "u", "")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
+    assert rows_of(html.extract_pages(pages)) == [(1, "u", "a", 1), (2, "u", "", 0), (2, "u", "", 0), (None, None, "", 0)]
+    assert html.extract_pages(pages.limit(0)).count() == 0
+    assert len(html.main_text("<article>" + "<div>" * 5000 + "deep " * 50_000, STOP)) == 5 * 50_000 - 1
+
+
+def test_secrets(spark):
+    key, sha = "AKIA" + "Q3ZC7RT5WLM2XKPD", hashlib.sha1(b"x").hexdigest()
+    text = f'é the password=f3ab99c0d1e2f3a4b5 and {key} then token = "{hashlib.sha1(b"y").hexdigest()}" but commit {sha} and 2024-01-01-some-long-file-name and call +1-555-0100'
+    rows = [(1, text, "src"), (2, None, None), (3, "", "src"), (4, "no secrets here at all", "src"), (None, key, None), (5, "A1" * 100_000, "src")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"start": F.lit("clash"), "path": F.lit(0)})
+    got = secrets.scan_secrets(docs, secrets.fit_secrets()).collect()
+    found = {text[r["start"] : r["end"]] for r in got if r["doc_id"] == 1}
+    assert {"f3ab99c0d1e2f3a4b5", key} <= found and sha not in found and not any("file" in x for x in found)
+    assert any(r["doc_id"] is None for r in got) and not any(r["doc_id"] in (2, 3, 4) for r in got)
+    assert secrets.scan_secrets(docs.limit(0), secrets.fit_secrets()).count() == 0
+
+
+def test_forest_removes_false_positives():
+    train, test = secrets.labelled_findings(60, 1), secrets.labelled_findings(60, 2)
+    describe, forest = secrets.Describe(secrets.WORDS), secrets.fit_secrets(train)
+    import numpy as np
+
+    said = secrets.vote(forest, np.array([describe(*f[:5]) for f in test])) >= 0.5
+    assert (said == np.array([f[5] == 1 for f in test])).mean() > 0.95
+
+
+def test_chats_round_trip(spark):
+    nasty = ["<|im_end|>", "<\\|x", "<|", "a<", "|b", "<\\\\|", "\n<|im_start|>assistant\nx", "", None, "é\U0001f600"]
+    rows = [(c, t, "assistant" if t % 2 else "user", nasty[(c + t) % len(nasty)]) for c in range(20) for t in range(c % 5 + 1)]
+    rows += [(50, 0, None, "x"), (51, 0, "we%ird\nrole", "y"), (51, 0, "we%ird\nrole", "y"), (52, None, "user", "first"), (52, 1, "assistant", "z"), (None, 0, "assistant", "w")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"parts": F.lit("clash"), "example": F.lit(0)})
+    examples = chat.format_chats(df)
+    got = {r["conv_id"]: r for r in chat.digest_chats(examples).collect()}
+    by = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        by[c].append((-1 if t is None else t, role or "", text or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(t for _, r, t in turns if r == "assistant")
+        said = "".join(f"{r}\n{t}\n" for _, r, t in turns)
+        g = got[c]
+        assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for r in examples.collect():
+        assert r["text"].count("<|im_start|>") == r["text"].count("<|im_end|>\n") and r["loss_start"] <= r["loss_end"]
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, corpus, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, t, "en", s, len(t or "")) for i, t, s in corpus]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int").limit(0).write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, corpus[45][1])], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    out = docs
+    from lakequill.llm import common  # noqa: F401
+
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, out, d)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        out.write.parquet(f"{d}/{name}")
+        out = spark.read.parquet(f"{d}/{name}")
+    left = {r["doc_id"] for r in out.collect()}
+    assert corpus[45][0] not in left and 300 not in left and 309 in left and 308 in left
+    final = corpus_pipeline.STAGES[-1][1](spark, out, d).collect()
+    assert final and all(0 < r["taken"] <= 3 * r["size"] for r in final)
