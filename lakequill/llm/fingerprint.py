@@ -105,7 +105,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc()]
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranged = whole.repartitionByRange(max(2, partitions(docs.sparkSession)), *order).sortWithinPartitions(*order)
+    # the sample that sets the ranges goes to the driver, so it must not hold texts
+    ranged = whole.repartitionByRange(max(2, partitions(docs.sparkSession)), order[0]).sortWithinPartitions(*order)
     names = ["doc_id", "text", "part", "last", *[f.split()[0] for f in FIELDS.split(", ")]]
 
     def told(make: OrderMinHash, text: str, mark: np.ndarray, following: str, next_mark: np.ndarray) -> tuple:
