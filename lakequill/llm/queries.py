@@ -106,11 +106,11 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 """,
     "op6_substring": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-p AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d),
-w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(words[i:i + 19], ' ') ORDER BY doc_id, i) AS r FROM p),
+each AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
+p AS (SELECT doc_id, place AS i, string_agg(word, ' ') OVER o AS w, count(*) OVER o AS n FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS r FROM p WHERE n = 20),
 gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS place FROM w WHERE r > 1),
-g AS (SELECT doc_id, count(*) AS n, list(place) AS places FROM gone GROUP BY doc_id),
-each AS (SELECT d.doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d),
+g AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
 kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.place) AS kept FROM each e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.place = e.place WHERE gone.place IS NULL GROUP BY e.doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
