@@ -18,48 +18,73 @@ from .common import Workspace
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Bytes of benchmark text in one automaton; a larger benchmark is scanned for in as many rounds as it takes.
-AUTOMATON_BYTES = 16 << 20
+#: Bytes of benchmark text in one automaton, which takes some 50 times that in a worker;
+#: a larger benchmark is scanned for in as many rounds as it takes.
+AUTOMATON_BYTES = 4 << 20
 
 
 def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(NORMAL).split()
 
 
+def _spaced(words: list[bytes]) -> str:
+    return " " + b" ".join(words).decode() + " "
+
+
 def item_windows(items: list[tuple], size: int) -> dict[str, list]:
     """Windows of ``size`` words (all words of a shorter item) and the ids of the items they come from."""
     out: dict[str, list] = {}
     for item, text in items:
         words = normal_words(text)
         for i in range(max(1, len(words) - size + 1) if words else 0):
-            ids = out.setdefault(" " + b" ".join(words[i : i + size]).decode() + " ", [])
+            ids = out.setdefault(_spaced(words[i : i + size]), [])
             if item not in ids:
                 ids.append(item)
     return out
 
 
-def scanner(windows: dict[str, list]) -> ahocorasick.Automaton | None:
-    if not windows:
-        return None
-    found = ahocorasick.Automaton()
-    for text, ids in windows.items():
-        found.add_word(text, (len(text), ids))
-    found.make_automaton()
-    return found
+class Scanner:
+    """One automaton over pieces of the items, and the windows that decide.
 
+    An item is cut into pieces of half a window; every window holds a whole
+    piece, so a word of an item is in the automaton once and not in each window
+    over it.  Where a piece occurs, the windows around it are looked up.
+    """
 
-def scan_text(text: str | None, found: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], set]:
-    """Words of the text, the hit runs of words [first, end), merged, and the ids found."""
-    words = normal_words(text)
-    if not words or found is None:
-        return len(words), [], set()
-    line = " " + b" ".join(words).decode() + " "
-    hits = [(end + 1 - value[0], end, value[1]) for end, value in found.iter(line)]
-    if not hits:
-        return len(words), [], set()
-    spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
-    runs = _merged([(int(np.searchsorted(spaces, a)), int(np.searchsorted(spaces, b))) for a, b, _ in hits])
-    return len(words), runs, {x for _, _, ids in hits for x in ids}
+    def __init__(self, items: list[tuple], size: int):
+        self.size, self.piece, self.windows = size, (size + 1) // 2, item_windows(items, size)
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for _, text in items:
+            words = normal_words(text)
+            if len(words) < size:
+                pieces = [words] if words else []
+            else:
+                pieces = [words[i : i + self.piece] for i in range(0, len(words) - self.piece + 1, self.piece)]
+            for piece in pieces:
+                self.found.add_word(_spaced(piece))
+        if self.windows:
+            self.found.make_automaton()
+
+    def __call__(self, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
+        """Words of the text, the hit runs of words [first, end), merged, and the ids found."""
+        words = normal_words(text)
+        if not words or not self.windows:
+            return len(words), [], set()
+        line = _spaced(words)
+        pieces = [(end + 1 - length, end) for end, length in self.found.iter(line)]
+        if not pieces:
+            return len(words), [], set()
+        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
+        runs, ids, last = [], set(), max(0, len(words) - self.size)
+        start = np.searchsorted(spaces, [a for a, _ in pieces]).tolist()
+        end = np.searchsorted(spaces, [b for _, b in pieces]).tolist()
+        at = {i for a, b in zip(start, end, strict=True) if b - a == self.piece for i in range(max(0, b - self.size), min(a, last) + 1)}
+        for a, b in {*zip(start, end, strict=True), *((i, i + self.size) for i in at)}:
+            items = self.windows.get(line[spaces[a] : spaces[b] + 1]) if b < len(spaces) else None
+            if items:
+                runs.append((a, b))
+                ids.update(items)
+        return len(words), _merged(runs), ids
 
 
 def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -100,11 +125,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, te
     groups = list(_rounds(benchmark, automaton_bytes)) or [[]]
     ws, out = Workspace(docs.sparkSession, "decontam"), docs
     for k, group in enumerate(groups, 1):
-        shared = docs.sparkSession.sparkContext.broadcast(item_windows(group, window))  # at most automaton_bytes times the window
+        shared = docs.sparkSession.sparkContext.broadcast({"items": group})  # at most automaton_bytes
         if k < len(groups):
-            out = ws.keep(out.mapInArrow(_scan(shared, text, False), f"{kept}, {STATE_TYPES}"), f"round{k}")
+            out = ws.keep(out.mapInArrow(_scan(shared, window, text, False), f"{kept}, {STATE_TYPES}"), f"round{k}")
         else:
-            out = out.mapInArrow(_scan(shared, text, True), f"{kept}, {FOUND_TYPES}")
+            out = out.mapInArrow(_scan(shared, window, text, True), f"{kept}, {FOUND_TYPES}")
     return out
 
 
@@ -122,18 +147,20 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(shared, text: str, last: bool):
+def _scan(shared, window: int, text: str, last: bool):
     """Add a round's hits to those of earlier rounds (``STATE``); the last round tells them (``FOUND``)."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = scanner(shared.value)
+        held = shared.value  # one object in a worker, so what is made of it serves its other tasks too
+        if "scanner" not in held:
+            held["scanner"] = Scanner(held["items"], window)
         for b in batches:
             earlier = STATE[0] in b.schema.names
             old = zip(b.column(STATE[0]).to_pylist(), b.column(STATE[1]).to_pylist(), strict=True) if earlier else itertools.repeat(([], []))
             n, all_runs, all_items = [], [], []
             for t, (flat, names) in zip(b.column(text), old, strict=False):
-                words, new, ids = scan_text(t.as_py(), found)
+                words, new, ids = held["scanner"](t.as_py())
                 n.append(words)
                 all_runs.append(_merged([*zip(flat[::2], flat[1::2], strict=True), *new]) if flat else new)
                 all_items.append(sorted({*names, *(str(x) for x in ids if x is not None)}))
