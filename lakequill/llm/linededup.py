@@ -55,12 +55,14 @@ def dedup_lines(docs: DataFrame, *, sites: int = SITES, lg_k: int = LG_K, site:
     spread = spread_lines(docs, ws, sites=sites, lg_k=lg_k, site=site)
     again = _lines(docs, F.col(site).cast("string")).join(spread, ["h", "h2"]).filter(F.struct("doc_id", "th", "no") != F.col("first"))
     cut = again.groupBy("doc_id", "th").agg(F.collect_set("no").alias("_cut")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_cut")
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["_id"]) & (F.xxhash64(docs["text"]) == cut["_th"]), "left")
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains("_cut", i))
-    solid = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    # split below the join: inlined into a lambda, the split would run again for every line
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("other"), "doc_id", F.split("text", "\n").alias("lines"), F.xxhash64("text").alias("th"))
+    joined = whole.join(cut, whole["doc_id"].eqNullSafe(cut["_id"]) & (whole["th"] == cut["_th"]), "left")
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "_cut")
+    left = F.when(F.col("_cut").isNull(), F.col("lines")).otherwise(F.transform(stays, lambda i: F.element_at("lines", i + 1)))
+    solid = F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     return joined.select(
-        *[F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else docs[c] for c in docs.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(solid).cast("bigint").alias("n_lines"),
+        *[F.array_join(left, "\n").alias("text") if c == "text" else F.col("other")[c].alias(c) for c in docs.columns],
+        F.when(F.col("lines").isNull(), 0).otherwise(solid).cast("bigint").alias("n_lines"),
         F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("bigint").alias("n_removed"),
     )
