@@ -25,6 +25,12 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
+def key_range(key: Column, per_doubling: int) -> Column:
+    """The range that a key falls in, by falling key: ``per_doubling`` of them for each doubling of ``-ln(key)``."""
+    fall = F.when(key > 0, F.least(F.greatest(-F.log(key), F.lit(2.0**-60)), F.lit(2.0**60))).otherwise(F.lit(2.0**60))
+    return F.floor(F.log2(fall) * per_doubling).cast("int")
+
+
 def source_targets(ws: Workspace, sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """Targets per source of ``sized`` (source, size): source, source_size, target.
 
@@ -48,7 +54,7 @@ def source_targets(ws: Workspace, sized: DataFrame, weights: tuple[int, ...] = (
     return marked.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, buckets: int = 4096, payload: list[str] | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, buckets: int = 1024, payload: list[str] | None = None) -> DataFrame:
     """How many words the mix takes of every document of ``docs`` (doc_id, text, source).
 
     Returns doc_id, size (words), source_size, target, taken, and the columns
@@ -59,8 +65,10 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most:
     end of the budget gives its first words only, so sources meet their budgets
     exactly.  ``taken`` is at most ``most`` times the size.
 
-    The prefix sums inside a source are taken in ``buckets`` ranges of the key,
-    so a source of any size is spread over many tasks.
+    The prefix sums inside a source are taken in ranges of the key, ``buckets``
+    for each doubling of ``-ln(key)``.  At any quality ``-ln(key)`` is exponential,
+    so a range holds at most ``ln(2) / (e * buckets)`` of a source, a 4000th,
+    whatever the mix of qualities, and a source of any size is spread over many tasks.
 
     Null or empty text: size 0, taken 0.  Null source: a source of its own, last.
     Null doc_id: as an empty id.  Equal keys: by doc_id, then size; repeated rows
@@ -69,10 +77,9 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most:
     ws = Workspace(docs.sparkSession, "mixing")
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.pow(uniform(F.col("doc_id"), seed), 1 / quality_weight(F.col("text")))
-    bucket = F.floor((1 - F.col("key")) * buckets).cast("int")
     sid = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))  # no nulls, so plain equality serves joins and windows alike
     extra = [c for c in payload or [] if c not in ("doc_id", "source")]
-    sized = docs.select("doc_id", "source", sid.alias("sid"), words.alias("size"), key.alias("key"), *extra).withColumn("bucket", bucket)
+    sized = docs.select("doc_id", "source", sid.alias("sid"), words.alias("size"), key.alias("key"), *extra).withColumn("bucket", key_range(F.col("key"), buckets))
     sized = ws.keep(sized, "sized")
     targets = source_targets(ws, sized, weights, most)
     budget = F.floor(F.col("target") + 0.5).cast("bigint")

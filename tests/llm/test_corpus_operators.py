@@ -150,6 +150,23 @@ def test_decontamination_by_brute_force(spark, corpus):
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_scanner_by_brute_force():
+    draw = random.Random(8)
+    for _ in range(1500):
+        size, letters = draw.choice([1, 2, 3, 6, 7, 13]), "abc"[: draw.randint(1, 3)]
+        items = [(k, " ".join(draw.choices(letters, k=draw.randrange(2 * size + 3)))) for k in range(4)]
+        text = " ".join(draw.choices(letters, k=draw.randrange(40)))
+        hit, found = set(), set()
+        for window, ids in decontam.item_windows(items, size).items():
+            w = window.split()
+            for p in range(len(text.split()) - len(w) + 1):
+                if text.split()[p : p + len(w)] == w:
+                    hit |= set(range(p, p + len(w)))
+                    found |= set(ids)
+        n, runs, ids = decontam.Scanner(items, size)(text)
+        assert (n, {x for a, b in runs for x in range(a, b)}, ids) == (len(text.split()), hit, found)
+
+
 def test_line_dedup_by_brute_force(spark):
     draw = random.Random(4)
     lines = ["common", " common\t", "rare one", "", "only here", "wide"]
@@ -207,6 +224,17 @@ def test_mixing(spark, corpus):
     assert mixing.mix_sources(awkward(spark)).count() == 0
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.05])
+def test_key_ranges_are_even_at_any_weight(spark, weight):
+    keys = spark.range(40_000).select(F.pow(mixing.uniform(F.col("id"), 17), F.lit(1 / weight)).alias("key"))
+    keys = keys.select("key", mixing.key_range(F.col("key"), 1024).alias("range"))
+    assert keys.groupBy("range").count().agg(F.max("count")).first()[0] < 40
+    between = keys.groupBy("range").agg(F.min("key").alias("low"), F.max("key").alias("high")).orderBy("range").collect()
+    assert all(a["low"] > b["high"] for a, b in zip(between, between[1:], strict=False))
+    ends = spark.createDataFrame([(0.0,), (1.0,), (None,)], "key double").select(mixing.key_range(F.col("key"), 1024).alias("r"))
+    assert [r["r"] for r in ends.collect()] == [60 * 1024, -60 * 1024, 60 * 1024]
+
+
 def test_fingerprints(spark, corpus):
     rows = sorted(corpus, key=lambda r: (r[0], r[1] or ""))
     got = {}
