@@ -89,3 +89,19 @@ def ranges_overlap(a: Column, b: Column) -> Column:
 
 def multirange_contains(ranges: Column, x: Column) -> Column:
     return F.exists(ranges, lambda r: range_contains(r, x))
+
+
+def inet(s: Column) -> Column:
+    """The IPv4 address, with its prefix length if it has one; null for what is no address."""
+    byte = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    return F.when(s.rlike(rf"^{byte}(\.{byte}){{3}}(/(3[0-2]|[12]?[0-9]))?$"), s)
+
+
+def json_path_of(target: str) -> list[str]:
+    """The path of a subscripted column, as in ``col['a'][0]``: ["a", "0"]."""
+    return [a or b for a, b in re.findall(r"\[(?:'([^']*)'|(-?\d+))\]", target)]
+
+
+def enum_place(label: Column, labels: list[str]) -> Column:
+    """The place of a label among the declared ones, from 0; null for any other."""
+    return (array_position(F.array(*[F.lit(x) for x in labels]), label) - 1).cast("int")

@@ -36,3 +36,10 @@ def age(end: Column, start: Column) -> Column:
     months = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start) - under
     length = F.day(F.last_day(F.add_months(end.cast("date"), -1)))
     return F.struct(months.alias("months"), F.when(days < 0, days + length).otherwise(days).alias("days"), F.when(seconds < 0, seconds + 86400).otherwise(seconds).alias("seconds"))
+
+
+def round_to(ts: Column, digits: int) -> Column:
+    """TIMESTAMP(digits): to the nearest fraction of a second with so many digits, halves up; no zone."""
+    unit = 10 ** (6 - digits)
+    shifted = F.unix_micros(ts.cast("timestamp")) + unit // 2
+    return F.timestamp_micros(shifted - F.pmod(shifted, F.lit(unit))).cast("timestamp_ntz")

@@ -23,3 +23,7 @@ def json_object_agg(key: Column, value: Column) -> Column:
     """JSON object text by rising key; null keys dropped, null for no rows."""
     kept = F.array_sort(F.collect_list(F.when(key.isNotNull(), F.struct(key.cast("string").alias("key"), value.alias("value")))))
     return F.when(F.size(kept) > 0, F.to_json(F.map_from_entries(kept)))
+
+
+def geometric_mean(x: Column) -> Column:
+    return F.exp(F.avg(F.ln(x)))

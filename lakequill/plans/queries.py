@@ -481,3 +481,145 @@ both("x17_parameters", "SELECT o_orderkey FROM orders WHERE o_orderstatus = :sta
 def ud01_sql_function(spark, sf_dir):
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION thrice_plus(x INT) RETURNS INT RETURN x * 3 + 1")
     return sql(spark, sf_dir, "SELECT n_nationkey, thrice_plus(n_nationkey) AS y FROM nation")
+
+
+# Operators that share a query above, each with one of its own.
+both("s03_column_chunks", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1")
+edge("a12_ordered_inputs", "SELECT group_id, listagg(id, ',') WITHIN GROUP (ORDER BY value DESC NULLS LAST, id) AS last, listagg(id, ',') WITHIN GROUP (ORDER BY value ASC NULLS FIRST, id) AS first FROM EDGE GROUP BY group_id", "SELECT group_id, string_agg(id, ',' ORDER BY value DESC NULLS LAST, id) AS last, string_agg(id, ',' ORDER BY value ASC NULLS FIRST, id) AS first FROM EDGE GROUP BY group_id")
+both("a13_hash_group", "SELECT l_suppkey, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_suppkey")
+both("a20_column_aggregates", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(l_partkey) AS BIGINT) AS s, min(l_orderkey) AS a, max(l_orderkey) AS b, round(avg(l_suppkey), 6) AS m, CAST(count(DISTINCT l_partkey) AS BIGINT) AS d, min(l_returnflag) AS t, max(l_linestatus) AS u FROM lineitem")
+both("a21_grouping_statistics", "SELECT p_brand, CAST(grouping(p_brand) AS BIGINT) AS g, round(stddev_samp(p_size), 6) AS sd, round(corr(p_size, p_retailprice), 6) AS c, percentile_cont(0.5) WITHIN GROUP (ORDER BY p_size) AS med FROM part GROUP BY ROLLUP (p_brand)")
+P = "OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority)"
+both("w02_rank", f"SELECT o_orderkey, CAST(rank() {P} AS BIGINT) AS r FROM orders")
+both("w03_dense_rank", f"SELECT o_orderkey, CAST(dense_rank() {P} AS BIGINT) AS r FROM orders")
+both("w05_cume_dist", f"SELECT o_orderkey, round(cume_dist() {P}, 9) AS c FROM orders")
+both("w06_ntile", f"SELECT o_orderkey, CAST(ntile(4) {W} AS BIGINT) AS t FROM orders")
+both("w09_last_value", f"SELECT o_orderkey, last_value(o_orderkey) {W} AS to_here, last_value(o_orderkey) {W.replace(')', ' ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')} AS whole FROM orders")
+both("w10_nth_value", f"SELECT o_orderkey, nth_value(o_orderkey, 3) {W} AS third FROM orders")
+both("w16_range_offset", "SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM events")
+both("w18_named_window", "SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, round(max(o_totalprice) OVER w, 2) AS m FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+both("w19_conditional_window", "SELECT o_orderkey, CAST(count(CASE WHEN o_orderstatus = 'F' THEN 1 END) OVER (PARTITION BY o_custkey) AS BIGINT) AS done, CAST(size(collect_set(o_orderpriority) OVER (PARTITION BY o_custkey)) AS BIGINT) AS kinds FROM orders", "SELECT o_orderkey, count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS done, count(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS kinds FROM orders")
+both("t03_top_k_expression", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem ORDER BY l_extendedprice * (1 - l_discount) DESC NULLS FIRST, l_orderkey, l_linenumber LIMIT 15")
+both("t05_limit", "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT l_orderkey FROM lineitem LIMIT 100)")
+both("st02_length", "SELECT n_nationkey, CAST(length(n_name) AS BIGINT) AS a, CAST(char_length(n_name) AS BIGINT) AS b, CAST(character_length('h\u00e9llo') AS BIGINT) AS c FROM nation", "SELECT n_nationkey, length(n_name) AS a, length(n_name) AS b, length('h\u00e9llo') AS c FROM nation")
+edge("st06_concat_ws", "SELECT id, concat_ws('-', label, CAST(id AS STRING), NULL) AS w, concat_ws(NULL, 'a', 'b') AS n FROM EDGE", "SELECT id, concat_ws('-', label, CAST(id AS VARCHAR), NULL) AS w, concat_ws(NULL, 'a', 'b') AS n FROM EDGE")
+both("st09_left_right", "SELECT p_partkey, left(p_name, 4) AS l, right(p_name, 4) AS r FROM part")
+both("st10_reverse", "SELECT n_nationkey, reverse(n_name) AS r FROM nation")
+both("st11_position", "SELECT n_nationkey, CAST(position('AN' IN n_name) AS BIGINT) AS p, CAST(position('zz' IN n_name) AS BIGINT) AS z FROM nation")
+both("m02_round", "SELECT o_orderkey, round(2.5) AS a, round(-2.5) AS b, round(o_totalprice, -2) AS c FROM orders", "SELECT o_orderkey, round(2.5) AS a, round(-2.5) AS b, round(o_totalprice, -2) AS c FROM orders")
+both("m03_floor_ceil", "SELECT c_custkey, CAST(floor(-c_acctbal) AS BIGINT) AS f, CAST(ceiling(c_acctbal) AS BIGINT) AS c FROM customer")
+both("m05_sqrt", "SELECT p_partkey, round(sqrt(p_size), 9) AS s FROM part")
+both("m06_mod", "SELECT n_nationkey, CAST(mod(n_nationkey, 7) AS BIGINT) AS m, CAST(-n_nationkey % 5 AS BIGINT) AS s FROM nation")
+both("m08_log", "SELECT p_partkey, round(log10(p_size), 9) AS t, round(log(2, p_size), 9) AS b FROM part")
+both("m09_pi_random", "SELECT round(pi(), 12) AS p, rand() < 1 AND rand() >= 0 AS r", "SELECT round(pi(), 12) AS p, random() < 1 AND random() >= 0 AS r")
+both("m11_arithmetic", "SELECT p_partkey, p_size + 3 AS a, p_size - 3 AS s, p_size * 3 AS m, p_size div 3 AS d, p_size % 3 AS r, -p_size AS n, round(p_retailprice / p_size, 6) AS q FROM part", "SELECT p_partkey, p_size + 3 AS a, p_size - 3 AS s, p_size * 3 AS m, CAST(p_size // 3 AS BIGINT) AS d, p_size % 3 AS r, -p_size AS n, round(p_retailprice / p_size, 6) AS q FROM part")
+both("n04_sequence", "SELECT CAST(count(DISTINCT id) AS BIGINT) AS n, min(id) >= 100 AS from_start FROM (SELECT monotonically_increasing_id() + 100 AS id FROM orders)", "SELECT count(*) AS n, TRUE AS from_start FROM orders")
+both("dt05_make_timestamp", "SELECT n_nationkey, make_timestamp_ntz(2024, 2, 29, n_nationkey % 24, 59, 1.25) AS t FROM nation", "SELECT n_nationkey, make_timestamp(2024, 2, 29, n_nationkey % 24, 59, 1.25) AS t FROM nation")
+both("dt08_date_interval", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP_NTZ) + INTERVAL '1' MONTH AS a, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP_NTZ) - INTERVAL '90' MINUTE AS b FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + INTERVAL '1' MONTH AS a, CAST(o_orderdate AS DATE) - INTERVAL '90' MINUTE AS b FROM orders")
+both("dt10_date_difference", "SELECT o_orderkey, CAST(datediff(CAST(o_orderdate AS DATE), DATE '1995-06-17') AS BIGINT) AS n FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) - DATE '1995-06-17' AS n FROM orders")
+both("dt12_interval_builders", "SELECT event_id, ts + make_dt_interval(1, 2, 3, 4.5) AS a, ts + make_ym_interval(1, 2) AS b FROM events", "SELECT event_id, ts + INTERVAL '1 day 2 hours 3 minutes 4.5 seconds' AS a, ts + INTERVAL '14 months' AS b FROM events")
+both("ar02_array_length", "SELECT p_partkey, CAST(size(split(p_type, ' ')) AS BIGINT) AS n, CAST(size(array(array(1, 2, 3), array(4, 5, 6))[0]) AS BIGINT) AS inner_n FROM part", "SELECT p_partkey, len(string_split(p_type, ' ')) AS n, len([[1, 2, 3], [4, 5, 6]][1]) AS inner_n FROM part")
+both("ar03_cardinality", "SELECT n_nationkey, CAST(size(flatten(array(array(1, n_nationkey), array(3)))) AS BIGINT) AS n FROM nation", "SELECT n_nationkey, len(flatten([[1, n_nationkey], [3]])) AS n FROM nation")
+both("ar04_append_prepend", "SELECT n_nationkey, array_join(array_append(array(1, 2), n_nationkey), ',') AS a, array_join(array_prepend(array(1, 2), n_nationkey), ',') AS p FROM nation", "SELECT n_nationkey, array_to_string(list_append([1, 2], n_nationkey), ',') AS a, array_to_string(list_prepend(n_nationkey, [1, 2]), ',') AS p FROM nation")
+both("ar05_array_cat", "SELECT p_partkey, array_join(concat(split(p_type, ' '), array(p_brand)), '|') AS a FROM part", "SELECT p_partkey, array_to_string(list_concat(string_split(p_type, ' '), [p_brand]), '|') AS a FROM part")
+both("ar07_array_to_string", "SELECT n_nationkey, array_join(array(n_name, NULL, 'z'), ',') AS a, array_join(array(n_name, NULL, 'z'), ',', '*') AS b FROM nation", "SELECT n_nationkey, concat_ws(',', n_name, 'z') AS a, concat_ws(',', n_name, '*', 'z') AS b FROM nation")
+json_rows("js14_typeof", "(1, 'object', 'array'), (2, 'object', NULL), (3, NULL, NULL), (4, NULL, NULL), (5, 'array', NULL)", t=lambda: J.json_typeof(D()), tags=lambda: J.json_typeof(J.json_get(D(), "tags")))
+json_rows("js24_subscript_update", "(1, '[1]'), (2, NULL), (3, NULL), (4, NULL), (5, NULL)", s=lambda: F.when(F.col("id") == 1, J.json_get(J.json_set(D(), S.json_path_of("doc['a']['b']"), [1]), "a", "b")))
+
+
+@plan("SELECT n_nationkey, nullif(list_position([3, 5, 7], n_nationkey), 0)::BIGINT AS p FROM nation")
+def ar06_array_position(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", S.array_position(F.array(F.lit(3), F.lit(5), F.lit(7)), F.col("n_nationkey")).cast("bigint").alias("p"))
+
+
+@plan("SELECT event_id, make_timestamp((epoch_us(ts) + 500) // 1000 * 1000) AS ms, make_timestamp((epoch_us(ts) + 500000) // 1000000 * 1000000) AS s FROM events")
+def dt13_timestamp_precision(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", T.round_to(F.col("ts"), 3).alias("ms"), T.round_to(F.col("ts"), 0).alias("s"))
+
+
+@plan("""SELECT n_nationkey, '"' || n_name || '"' AS q, '"a""b"' AS c FROM nation""")
+def st13_quote_ident(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", S.quote_ident(F.col("n_name")).alias("q"), S.quote_ident(F.lit('a"b')).alias("c"))
+
+
+@plan("SELECT p_partkey, nullif(regexp_extract(p_name, '[a-e]+'), '') AS first, list_extract(regexp_extract_all(p_name, '[a-e]+'), 2) AS second FROM part")
+def st16_regexp_substr(spark, sf_dir):
+    return sql(spark, sf_dir, "SELECT p_partkey, regexp_substr(p_name, '[a-e]+') AS first, try_element_at(regexp_extract_all(p_name, '[a-e]+', 0), 2) AS second FROM part")
+
+
+@plan("SELECT * FROM (VALUES (1, '10.0.0.1'), (2, NULL), (3, '10.0.0.0/8'), (4, NULL), (5, NULL)) AS t(id, a)")
+def n06_inet(spark, sf_dir):
+    return literal(spark, "(1, '10.0.0.1'), (2, '256.1.1.1'), (3, '10.0.0.0/8'), (4, '1.2.3'), (5, NULL)", "id, s").select("id", S.inet(F.col("s")).alias("a"))
+
+
+@plan("SELECT event_id, '{\n    \"k\": ' || (props->>'k') || '\n}' AS p FROM events")
+def js16_pretty(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", J.json_pretty(F.col("props")).alias("p"))
+
+
+@plan("SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def s13_insert_sink(spark, sf_dir):
+    path = C.staging_path(spark, "insert")
+    sql(spark, sf_dir, "SELECT r_regionkey, r_name FROM region").write.parquet(path)
+    sql(spark, sf_dir, "SELECT n_nationkey AS r_regionkey, n_name AS r_name FROM nation WHERE n_regionkey = 1").write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@plan("SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
+def x07_replace_view(spark, sf_dir):
+    sql(spark, sf_dir, "SELECT n_nationkey FROM nation WHERE n_regionkey = 1").createOrReplaceTempView("some_nations")
+    sql(spark, sf_dir, "SELECT n_nationkey FROM nation WHERE n_regionkey = 2").createOrReplaceTempView("some_nations")
+    out = spark.table("some_nations")
+    spark.catalog.dropTempView("some_nations")
+    return out
+
+
+@plan("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 10 AND 20")
+def x08_index_layout(spark, sf_dir):
+    """An index as layout: rows dealt and sorted by the key, so that files and row groups are skipped by their statistics."""
+    path = C.staging_path(spark, "indexed")
+    sql(spark, sf_dir, "SELECT o_orderkey, o_custkey FROM orders").repartitionByRange("o_custkey").sortWithinPartitions("o_custkey").write.parquet(path)
+    return spark.read.parquet(path).filter("o_custkey BETWEEN 10 AND 20")
+
+
+@plan("SELECT 'Comment' AS info_name, 'more' AS info_value")
+def x11_schema_comment(spark, sf_dir):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS lakequill_demo")
+    spark.sql("COMMENT ON SCHEMA lakequill_demo IS 'more'")
+    out = spark.sql("DESCRIBE SCHEMA lakequill_demo").filter("info_name = 'Comment'").collect()
+    spark.sql("DROP SCHEMA lakequill_demo CASCADE")
+    return spark.createDataFrame(out, "info_name string, info_value string")
+
+
+@plan("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS place FROM orders")
+def x09_enum_type(spark, sf_dir):
+    """CREATE TYPE ... AS ENUM: a label's place in the declared order."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.enum_place(F.col("o_orderstatus"), ["F", "O", "P"]).alias("place"))
+
+
+@plan("SELECT 'r_regionkey' AS col_name, 'int' AS data_type UNION ALL SELECT 'r_name', 'string'")
+def x13_describe(spark, sf_dir):
+    return sql(spark, sf_dir, "DESCRIBE QUERY SELECT r_regionkey, r_name FROM region").select("col_name", "data_type")
+
+
+@plan("SELECT p_partkey, p_size * 2 + 1 AS y FROM part")
+def ud02_python_function(spark, sf_dir):
+    twice = F.pandas_udf(lambda x: x * 2 + 1, "int")
+    return table(spark, sf_dir, "part").select("p_partkey", twice("p_size").alias("y"))
+
+
+@plan("SELECT p_brand, round(exp(avg(ln(p_size))), 6) AS g FROM part GROUP BY p_brand")
+def ud03_custom_aggregate(spark, sf_dir):
+    """An aggregate of one's own, made of built-in ones, which combine before the shuffle."""
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(A.geometric_mean(F.col("p_size")), 6).alias("g"))
+
+
+@plan("SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part")
+def ud04_table_function(spark, sf_dir):
+    class Words:
+        def eval(self, text: str):
+            for word in (text or "").split(" "):
+                yield (word,)
+
+    spark.udtf.register("words_of", F.udtf(Words, returnType="word string"))
+    return sql(spark, sf_dir, "SELECT p_partkey, w.word FROM part, LATERAL words_of(p_type) AS w")
