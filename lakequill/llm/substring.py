@@ -26,6 +26,8 @@ from .common import partitions
 from .kernels import Rolling, Text, mix, slices, window_starts
 
 LENGTH, SEED = 20, 8
+#: Bytes of text in a chunk on average, if the number of chunks isn't given.
+CHUNK_BYTES = 32 << 20
 ANCHORS = LENGTH - SEED + 1
 
 
@@ -145,7 +147,8 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, c
     maximal removed runs as array<struct<start, end>> of word numbers.
 
     ``chunks``: how many parts documents are dealt into, by default the number
-    of shuffle partitions; one chunk's text is in a Python worker's memory.
+    of shuffle partitions, or more so that a part has ``CHUNK_BYTES`` of text; one
+    chunk's text is in a Python worker's memory, whatever the size of the input.
 
     Null or empty text: no words, nothing removed.  Null doc_id: before all
     others.  Rows with the same doc_id: by text, so repeated rows lose what the
@@ -153,7 +156,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, c
     read whole; a text of one repeated word keeps its first window.
     """
     spark = docs.sparkSession
-    n = chunks or partitions(spark)
+    n = chunks or max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
     buckets = 4 * n
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"))
 

@@ -370,3 +370,11 @@ def test_pipeline(spark, corpus, tmp_path):
     assert corpus[45][0] not in left and 300 not in left and 309 in left and 308 in left
     final = corpus_pipeline.STAGES[-1][1](spark, out, d).collect()
     assert final and all(0 < r["taken"] <= 3 * r["size"] for r in final)
+
+
+def test_substring_chunks_follow_the_input(spark, monkeypatch):
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 40)
+    t = " ".join(map(str, range(25)))
+    rows = [(i, t, "s") for i in range(9)] + [(9, None, "s")]
+    got = substring.remove_repeats(spark.createDataFrame(rows, DOCS))
+    assert rows_of(got.select("doc_id", "n_removed")) == [(0, 0), *[(i, 25) for i in range(1, 9)], (9, 0)]
