@@ -45,7 +45,7 @@ TOKEN = re.compile(r"[a-z0-9]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 # The thresholds of the block rules, in characters and shares.
-SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.2, 0.20, 0.30
+SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.2, 0.10, 0.20
 
 
 def _boxed(tag: str, attributes: str, inside: bool) -> bool:
@@ -168,7 +168,9 @@ def classify(found: list[tuple[str, float, bool, bool]], stop: frozenset[str]) -
     """Both passes: True for blocks of main text.
 
     Where the page declares an article with text, blocks outside it are decided
-    as bad, and blocks inside it need no stop words to be good.
+    as bad, and blocks inside it need no stop words to be good.  A short block
+    without a decided neighbour on one side takes the label of the other side; a
+    page of nothing but short blocks outside an article has no main text.
     """
     declared = any(inside for _, _, inside, _ in found)
     first: list[str] = []
@@ -186,20 +188,20 @@ def classify(found: list[tuple[str, float, bool, bool]], stop: frozenset[str]) -
             first.append("bad")
     labels = list(first)
 
-    def neighbour(i: int, step: int, near: bool) -> str:
+    def neighbour(i: int, step: int, near: bool) -> str | None:
         j = i + step
         while 0 <= j < len(first):
             if first[j] in ("good", "bad") or near and first[j] == "near":
                 if not (declared and found[i][2] and not found[j][2]):  # an article's edge is no neighbour
                     return first[j]
             j += step
-        return "good" if declared and found[i][2] else "bad"
+        return "good" if declared and found[i][2] else None
 
     for i, label in enumerate(first):
         if label == "short":
-            sides = {neighbour(i, -1, False), neighbour(i, 1, False)}
-            if len(sides) == 1:
-                labels[i] = sides.pop()
+            sides = {neighbour(i, -1, False), neighbour(i, 1, False)} - {None}
+            if len(sides) < 2:
+                labels[i] = sides.pop() if sides else "good" if "near" in first else "bad"
             else:
                 labels[i] = "good" if neighbour(i, -1, True) != "bad" and neighbour(i, 1, True) != "bad" or found[i][2] else "bad"
     for i, label in enumerate(first):

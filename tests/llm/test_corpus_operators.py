@@ -291,6 +291,9 @@ LONG = "The cat and the dog were in the house and it was all that they had for t
         (f"<div class='menu'><a>x</a></div><div id=content><h2>Head</h2><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div><div class=sidebar>{LONG}</div><section id='comments'><p>{LONG}</p></section>", f"Head {LONG.strip()} Short one. {LONG.strip()}"),
         (f"<header><p>{LONG}</header><main><form><p>{LONG}</p></form><aside>{LONG}</aside><p>Kept</p><div class='cookie-notice'>We use cookies</div><div style='display: none'>no</div></main>", "Kept"),
         (f"<article><p>a \n b</p><!-- <p>no</p> --><div class=ad>buy</div><ul><li><a href=x>link only</a></li><li>item</ul><article class='comment'><p>{LONG}</p></article></article>", "a b item"),
+        (f"<div class=post><h2>Head</h2><table><tr><th>Name<td>Value</table><p>{LONG}</p><p>Last.</p></div>", f"Head Name Value {LONG.strip()} Last."),
+        (f"<div><p>First.</p><p>{LONG[:81]}</p><p>Last.</p></div>", f"First. {LONG[:81].strip()} Last."),
+        ("<h1>Title</h1><p>Only a short text.</p>", ""),
         ("<article><p title='a > b'>x &lt;b&gt; &#233;</p></article>", "x <b> é"),
     ],
 )
