@@ -94,16 +94,16 @@ def original_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, in
 
 
 def _rounds(benchmark: DataFrame, most: int) -> Iterator[list[tuple]]:
-    """The benchmark's rows in groups that fit one automaton; the driver holds one group at a time."""
+    """The benchmark's rows in groups that fit one automaton; the last may be empty.  The driver holds two groups at most."""
     group, size = [], 0
     for item, text in benchmark.select("item_id", "text").toLocalIterator():
-        if group and size + len(text or "") > most:
+        more = len((text or "").encode())
+        if group and size + more > most:
             yield group
             group, size = [], 0
         group.append((item, text))
-        size += len(text or "")
-    if group:
-        yield group
+        size += more
+    yield group
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, text: str = "text", automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
@@ -122,15 +122,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, te
     """
     docs = docs.drop(*FOUND, *STATE)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    groups = list(_rounds(benchmark, automaton_bytes)) or [[]]
-    ws, out = Workspace(docs.sparkSession, "decontam"), docs
-    for k, group in enumerate(groups, 1):
+    groups = _rounds(benchmark, automaton_bytes)
+    ws, out, group = Workspace(docs.sparkSession, "decontam"), docs, next(groups)
+    for after in groups:
         shared = docs.sparkSession.sparkContext.broadcast({"items": group})  # at most automaton_bytes
-        if k < len(groups):
-            out = ws.keep(out.mapInArrow(_scan(shared, window, text, False), f"{kept}, {STATE_TYPES}"), f"round{k}")
-        else:
-            out = out.mapInArrow(_scan(shared, window, text, True), f"{kept}, {FOUND_TYPES}")
-    return out
+        before, out = out, ws.keep(out.mapInArrow(_scan(shared, window, text, False), f"{kept}, {STATE_TYPES}"), "round")
+        shared.destroy()
+        if before is not docs:
+            ws.drop(before)
+        group = after
+    shared = docs.sparkSession.sparkContext.broadcast({"items": group})
+    return out.mapInArrow(_scan(shared, window, text, True), f"{kept}, {FOUND_TYPES}")
 
 
 FOUND, FOUND_TYPES = ("n_words", "n_hit", "hits", "items"), "n_words bigint, n_hit bigint, hits array<struct<start:int,end:int>>, items array<string>"
