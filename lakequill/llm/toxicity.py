@@ -52,7 +52,7 @@ def by_document(rows: np.ndarray, features: np.ndarray, n: int, bits: int) -> li
     return np.split(both & ((1 << bits) - 1), np.searchsorted(both >> bits, np.arange(1, n)))
 
 
-def fit_ftrl(examples: list[tuple[np.ndarray, int]], *, bits: int = BITS, alpha: float = 0.2, beta: float = 1.0, l1: float = 3.0, l2: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_ftrl(examples: list[tuple[np.ndarray, int]], *, bits: int = BITS, alpha: float = 0.5, beta: float = 1.0, l1: float = 5.0, l2: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal with a rate per coordinate: features with a weight, the weights, the bias.
 
     A document's features count once each; l1 keeps the weight of a feature
