@@ -24,7 +24,7 @@ STOP_WORDS = {
     "es": "el la los las de del que en y a se por un una para con no su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre es ser también me hasta hay donde",
 }
 # Elements that never hold main text, that start a block, and that have no end tag.
-NEVER = frozenset("head nav aside footer form script style noscript template svg math button select textarea iframe menu dialog object canvas audio video map label input datalist".split())
+NEVER = frozenset("head nav aside footer form script style noscript template svg annotation annotation-xml button select textarea iframe menu dialog object canvas audio video map label input datalist".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +38,11 @@ BOX = re.compile(
 PAGE_HEADER = frozenset(["header", "head", "siteheader", "pageheader"])
 WRAPPER = frozenset("wrap wrapper layout container page site with has no without main content article".split())
 COMMENT = re.compile(r"comments?\w*|disqus\w*|repl(?:y|ies)|respond")
+# Of the words of boxes those that also name parts of an article, elements that may be a box in an article, words beside them in the id of a box, and names of what isn't shown.
+AMBIGUOUS = re.compile(r"notices?|alerts?|promo\w*|sponsor\w*|responses?|discussion|related\w*|recommend\w*|trending|side|foot|banners?|social\w*|shar(?:e|ing)\w*|widgets?|search\w*|skip|copyright|disclaimer|overlay|dialog|menus?|teasers?|complementary")
+CONTAINER = frozenset("center dd details div dl fieldset figure header hgroup li ol section table tbody td tr ul".split())
+PART = re.compile(r"\d+|area|bar|block|box|buttons?|container|form|inner|items?|links?|list|posts?|section|thread")
+UNSEEN = frozenset(["hidden", "offscreen", "visually-hidden"])
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -48,33 +53,46 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.2, 0.10, 0.20
 
 
-def _boxed(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element starts a box that is not main text; inside: it stands in an article."""
+def _boxed(tag: str, attributes: str, inside: bool, code: bool = False) -> str:
+    """Whether an element starts a box that is not main text; inside: it stands in an article; code: in a code sample.
+
+    Returns "hard" where nothing in the box is main text, "soft" where its name may
+    also be that of a part of the article, so that the block rules decide, else "".
+    """
     if tag in NEVER or tag == "header" and not inside:
-        return True
+        return "hard"
     if tag in ("html", "body", "main") or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return ""
     low = attributes.lower()
     if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", low):
-        return True
+        return "hard"
+    container, kind = tag in CONTAINER or "-" in tag, ""
     for name, a, b, c in ATTRIBUTE.findall(low):
         if name in ("class", "id", "role"):
             value = a or b or c
             tokens = TOKEN.findall(value)
             if tag == "article":
                 if any(COMMENT.fullmatch(t) for t in tokens):
-                    return True
+                    return "hard"
+            elif inside and not container or code or name == "id" and tag in HEADING:
+                if name == "class" and not UNSEEN.isdisjoint(value.split()):
+                    return "hard"
             elif not any(t in WRAPPER for t in tokens) or any(COMMENT.fullmatch(t) for t in tokens):
-                if any(BOX.fullmatch(t) for t in tokens) or not inside and any(t in PAGE_HEADER for t in tokens):
-                    return True
-    return False
+                found = [t for t in tokens if BOX.fullmatch(t)]
+                if inside and name == "id" and not all(t in found or PART.fullmatch(t) for t in tokens):
+                    continue  # a longer name of a part of the article
+                if not inside and (found or any(t in PAGE_HEADER for t in tokens)) or not all(AMBIGUOUS.fullmatch(t) for t in found):
+                    return "hard"
+                kind = "soft" if found else kind
+    return kind
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
-    """Blocks outside of boxes, in page order: text, share of characters in links, in an article, a heading."""
-    out: list[tuple[str, float, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, starts a box, starts an article
-    boxes = articles = 0
+def blocks(page: str) -> list[tuple[str, float, bool, bool, int]]:
+    """Blocks outside of hard boxes, in page order: text, share of characters in links, in an article, a heading, number of the soft box or 0."""
+    out: list[tuple[str, float, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, starts a box, starts an article, starts a soft box
+    boxes = articles = opened = 0
+    soft: list[int] = []
     link = heading = False
     parts: list[str] = []
     linked: list[str] = []
@@ -84,14 +102,17 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 in_links = " ".join(html.unescape("".join(linked)).split()) if linked else ""
-                out.append((text, len(in_links) / len(text), articles > 0, heading))
+                out.append((text, len(in_links) / len(text), articles > 0, heading, soft[-1] if soft else 0))
         parts.clear()
         linked.clear()
 
     def leave(depth: int) -> None:
         nonlocal boxes, articles
         while len(stack) > depth:
-            _, box, article = stack.pop()
+            _, box, article, doubtful = stack.pop()
+            if doubtful:
+                close()
+                soft.pop()
             boxes -= box
             articles -= article
 
@@ -147,12 +168,16 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool]]:
                 if stack[i][0] == "li":
                     leave(i)
                     break
-        box = _boxed(tag, attributes, articles > 0)
+        kind = _boxed(tag, attributes, articles > 0, any(x[0] == "pre" for x in stack))
+        box, doubtful = kind == "hard", kind == "soft"
         article = not box and (tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)|itemprop\s*=\s*[\"']?articleBody", attributes)))
-        if box or article or tag in BLOCK:
-            if box:
+        if box or doubtful or article or tag in BLOCK:
+            if box or doubtful:
                 close()
-            stack.append((tag, box, article))
+            if doubtful:
+                opened += 1
+                soft.append(opened)
+            stack.append((tag, box, article, doubtful))
             boxes += box
             articles += article
     close()
@@ -164,19 +189,25 @@ def density(text: str, stop: frozenset[str]) -> float:
     return sum(w in stop for w in words) / len(words) if words else 0.0
 
 
-def classify(found: list[tuple[str, float, bool, bool]], stop: frozenset[str]) -> list[bool]:
+def classify(found: list[tuple[str, float, bool, bool, int]], stop: frozenset[str]) -> list[bool]:
     """Both passes: True for blocks of main text.
 
     Where the page declares an article with text, blocks outside it are decided
-    as bad, and blocks inside it need no stop words to be good.  A short block
+    as bad, and blocks inside it need no stop words to be good.  In a soft box a block that isn't short
+    is good if it is long or has stop words and few links, and short blocks see no
+    neighbours but those of the box.  A short block
     without a decided neighbour on one side takes the label of the other side; a
     page of nothing but short blocks outside an article has no main text.
     """
-    declared = any(inside for _, _, inside, _ in found)
+    declared = any(inside for _, _, inside, _, _ in found)
     first: list[str] = []
-    for text, links, inside, heading in found:
+    for text, links, inside, heading, box in found:
         stops = density(text, stop)
-        if declared and not inside or links > LINKS * (2 if inside else 1) or "©" in text and len(text) < LONG and not inside:
+        if box and (links > LINKS or "©" in text and len(text) < LONG):
+            first.append("bad")
+        elif box and len(text) >= SHORT:
+            first.append("good" if len(text) > LONG or stops >= STOP_LOW else "bad")
+        elif declared and not inside or links > LINKS * (2 if inside else 1) or "©" in text and len(text) < LONG and not inside:
             first.append("bad")
         elif len(text) < SHORT:
             first.append("bad" if links > 0 and not inside else "short")
@@ -191,23 +222,23 @@ def classify(found: list[tuple[str, float, bool, bool]], stop: frozenset[str]) -
     def neighbour(i: int, step: int, near: bool) -> str | None:
         j = i + step
         while 0 <= j < len(first):
-            if first[j] in ("good", "bad") or near and first[j] == "near":
+            if found[j][4] == found[i][4] and (first[j] in ("good", "bad") or near and first[j] == "near"):
                 if not (declared and found[i][2] and not found[j][2]):  # an article's edge is no neighbour
                     return first[j]
             j += step
-        return "good" if declared and found[i][2] else None
+        return "good" if declared and found[i][2] and not found[i][4] else None
 
     for i, label in enumerate(first):
         if label == "short":
             sides = {neighbour(i, -1, False), neighbour(i, 1, False)} - {None}
             if len(sides) < 2:
-                labels[i] = sides.pop() if sides else "good" if "near" in first else "bad"
+                labels[i] = sides.pop() if sides else "good" if "near" in first and not found[i][4] else "bad"
             else:
                 labels[i] = "good" if neighbour(i, -1, True) != "bad" and neighbour(i, 1, True) != "bad" or found[i][2] else "bad"
     for i, label in enumerate(first):
         if label == "near":
             labels[i] = "good" if "good" in (neighbour(i, -1, False), neighbour(i, 1, False)) or not any(x == "good" for x in first) else "bad"
-    for i, (_, _, _, heading) in enumerate(found):  # a heading belongs to the text right after it
+    for i, (_, _, _, heading, _) in enumerate(found):  # a heading belongs to the text right after it
         if heading and first[i] == "short" and labels[i] == "bad" and i + 1 < len(found) and labels[i + 1] == "good":
             labels[i] = "good"
     return [x == "good" for x in labels]

@@ -301,6 +301,25 @@ def test_main_text(page, text):
     assert html.main_text(page, STOP) == text
 
 
+SENTENCE = "The dose was raised in the second week and all of them had the same signs as before."
+
+
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        (f"<section id=discussion><h2>Discussion</h2><p>{SENTENCE}</p><p>So.</p></section>", f"Discussion {SENTENCE} So."),
+        (f"<section id='side-effects'><p>Rash.</p></section><section class=side-effects><h3>Effects</h3><p>{SENTENCE}</p></section>", f"Rash. Effects {SENTENCE}"),
+        ("<h2 id='related-work'>Related work</h2><p class=notice>Mind the gap.</p>", "Related work Mind the gap."),
+        ("<pre>x = 1 <span class='token comment'># one</span>\n<code class='hljs-comment'>// two</code></pre>", "x = 1 # one // two"),
+        ("<p>So <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>a=1</annotation></semantics></math> holds.</p>", "So a=1 holds."),
+        (f"<div class=related><h3>Related</h3><a href=x>{SENTENCE}</a></div><section id=comments><p>{SENTENCE}</p></section><div id='social-links'>Share</div><div class='newsletter'>{SENTENCE}</div>", ""),
+        (f"<div class=share>Share this</div><p class='hidden'>{SENTENCE}</p><div hidden>{SENTENCE}</div>", ""),
+    ],
+)
+def test_names_do_not_cut_articles(inner, text):
+    assert html.main_text(f"<article><p>First.</p>{inner}<p>Last.</p></article>", STOP) == " ".join(f"First. {text} Last.".split())
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a</p></article>"), (None, None, None), (2, "u", ""), (2, "u", "")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     assert rows_of(html.extract_pages(pages)) == [(1, "u", "a", 1), (2, "u", "", 0), (2, "u", "", 0), (None, None, "", 0)]
