@@ -196,13 +196,18 @@ def classify(found: list[tuple[str, float, bool, bool, int]], stop: frozenset[st
     as bad, and blocks inside it need no stop words to be good.  In a soft box a block that isn't short
     is good if it is long or has stop words and few links, and short blocks see no
     neighbours but those of the box.  A short block
-    without a decided neighbour on one side takes the label of the other side; a
-    page of nothing but short blocks outside an article has no main text.
+    without a decided neighbour on one side takes the label of the other side.
+
+    Where no article is declared, stop words decide only on pages that have them:
+    if no block is good by the first pass, or under STOP_LOW of the words of the
+    blocks that aren't short are stop words, length and links decide alone.  If no
+    block is good then, those without links are, copyright lines apart, given that
+    they have SHORT characters together; a page of less has no main text.
     """
     declared = any(inside for _, _, inside, _, _ in found)
     first: list[str] = []
-    for text, links, inside, heading, box in found:
-        stops = density(text, stop)
+    shares = [density(text, stop) for text, *_ in found]
+    for (text, links, inside, heading, box), stops in zip(found, shares, strict=True):
         if box and (links > LINKS or "©" in text and len(text) < LONG):
             first.append("bad")
         elif box and len(text) >= SHORT:
@@ -217,6 +222,15 @@ def classify(found: list[tuple[str, float, bool, bool, int]], stop: frozenset[st
             first.append("near")
         else:
             first.append("bad")
+    plain = [links <= LINKS and not ("©" in text and len(text) < LONG) for text, links, *_ in found]
+    if not declared:
+        long = [i for i, x in enumerate(plain) if x and len(found[i][0]) >= SHORT]
+        words = [len(LETTERS.findall(found[i][0])) for i in long]
+        unserved = sum(shares[i] * n for i, n in zip(long, words, strict=True)) < STOP_LOW * sum(words)
+        if unserved or "good" not in first:
+            for i in long:
+                if first[i] == "bad":
+                    first[i] = "good" if unserved and len(found[i][0]) > LONG else "near"
     labels = list(first)
 
     def neighbour(i: int, step: int, near: bool) -> str | None:
@@ -241,6 +255,10 @@ def classify(found: list[tuple[str, float, bool, bool, int]], stop: frozenset[st
     for i, (_, _, _, heading, _) in enumerate(found):  # a heading belongs to the text right after it
         if heading and first[i] == "short" and labels[i] == "bad" and i + 1 < len(found) and labels[i + 1] == "good":
             labels[i] = "good"
+    if not declared and "good" not in labels:
+        rest = [x and (links == 0 or len(text) >= SHORT) for x, (text, links, *_) in zip(plain, found, strict=True)]
+        if sum(len(text) for x, (text, *_) in zip(rest, found, strict=True) if x) >= SHORT:
+            return rest
     return [x == "good" for x in labels]
 
 

@@ -320,6 +320,24 @@ def test_names_do_not_cut_articles(inner, text):
     assert html.main_text(f"<article><p>First.</p>{inner}<p>Last.</p></article>", STOP) == " ".join(f"First. {text} Last.".split())
 
 
+POLISH = "Wczoraj wieczorem rada miasta przyjęła uchwałę dotyczącą budowy mostu przez rzekę, którego mieszkańcy oczekiwali od wielu lat."
+CHINESE = "昨天晚上市议会通过了关于修建跨河大桥的决议，居民们已经等待了许多年。工程将于明年春天开始，预计三年后完工，届时两岸的交通将大为改善，市民出行也会更加方便，沿岸的商铺同样会从中受益。"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<nav><a href=x>Home</a></nav><div><h1>Bridge opens</h1><p>The bridge is open since Monday morning.</p><p>It took three years to build.</p></div><p><a href=x>More</a></p><p>© 2020 Town</p>", "Bridge opens The bridge is open since Monday morning. It took three years to build."),
+        (f"<div><h1>Most</h1><p>{POLISH}</p><p>{POLISH}</p></div><div class=sidebar>{POLISH}</div><p>© 2020 {POLISH}</p>", f"Most {POLISH} {POLISH}"),
+        (f"<ul><li><a href=x>{POLISH}</a></ul><h1>Most</h1><p>{POLISH * 3}</p><p>We use cookies for the good of you and all of us, as it was said in the terms of this site.</p>", f"Most {POLISH * 3} We use cookies for the good of you and all of us, as it was said in the terms of this site."),
+        (f"<div><p>{CHINESE}</p></div>", CHINESE),
+        (f"<article><p>Kept</p></article><p>{POLISH}</p>", "Kept"),
+    ],
+)
+def test_pages_without_articles_or_stop_words(page, text):
+    assert html.main_text(page, STOP) == text
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a</p></article>"), (None, None, None), (2, "u", ""), (2, "u", "")], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     assert rows_of(html.extract_pages(pages)) == [(1, "u", "a", 1), (2, "u", "", 0), (2, "u", "", 0), (None, None, "", 0)]
