@@ -24,6 +24,7 @@ INSIDE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=."
 NAMES = "password passwd pwd secret token apikey api_key key access auth authorization bearer credential credentials private client_secret aws pass signature session jwt".split()
 OTHERS = "commit sha sha1 sha256 md5 checksum hash digest uuid guid version id revision example sample dummy placeholder changeme build etag integrity file image page isbn order".split()
 SAMPLES = "test tests example examples doc docs sample samples fixture fixtures mock spec readme".split()
+NOTHING = "required true false none null undefined string value default enabled disabled optional hidden empty missing expired invalid unknown primary foreign public private basic bearer password secret token username getpass() os.environ process.env config.get input() ******** xxxxxxxx changeme ...... str bytes Optional[str]".split()
 WORDS = (
     "the and for are but not you all any can had her was one our out day get has him his how man new now old see two way who boy did its let put say she too use about after again air also another around back because been before"
     " below between both came come could each even every find first found from give good great hand have here high home house into just kind know large last left life light line little live long look made make many may men might more most"
@@ -31,9 +32,19 @@ WORDS = (
     " thing think this those thought three through time together turn under until very want water well went were what when where which while will with word work world would write year your"
 ).split()
 
-#: Least length of a candidate; least score of a finding.
-SHORTEST, REPORT = 16, 0.5
-FEATURES = 14
+# How issued keys start; words in names of secrets; what follows such a word up to the value (a sign, "is" or blanks); where an unquoted value ends before its blank.
+PREFIX = re.compile(r"(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|glpat-|sk_live_|sk_test_|rk_live_|sk-|xox[abprs]-|npm_|pypi-|eyJ)(?=.{8})")
+STEMS = "password passwd passphrase pass pwd secret token key auth bearer credential private signature session jwt".split()
+VALUE = re.compile(
+    r"([A-Za-z0-9_.\-]{0,24})(?:[\"'`]?\]?[ \t]*(?::=|=>|===?|=|:)\s*(?:(?:[Bb]earer|[Bb]asic|[Tt]oken)[ \t]+)?|[ \t]+is:?[ \t]+|([ \t]+))"
+    r"(?:\"([^\"\n]{4,4000})\"|'([^'\n]{4,4000})'|`([^`\n]{4,4000})`|[\"'`]?([^\s\"'`]\S{3,}))"
+)
+CLOSING = {")": "(", "]": "[", "}": "{", ">": "<"}
+STOP = re.compile(r"[&;,](?=[\w.\-\"']+[=:])|[\"'`](?=[,;)\]}>&]|$)|</")
+
+#: Least length of a candidate without a name and with one; least score of a finding.
+SHORTEST, LEAST, REPORT = 16, 4, 0.5
+FEATURES = 18
 
 
 def entropy(text: str) -> float:
@@ -60,7 +71,7 @@ class Describe:
         n, low = len(found), found.lower()
         codes = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in low]
         near = re.findall(r"[a-z_0-9]+", before.lower())[-4:] + re.findall(r"[a-z_0-9]+", after.lower())[:2]
-        named = set(re.findall(r"[a-z_0-9]+", name.lower()))
+        named = set(re.findall(r"[a-z_0-9]+", name.lower())) | {x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", name)}
         return [
             n,
             sum(c.isdigit() for c in found) / n,
@@ -72,15 +83,59 @@ class Describe:
             sum(len(m[0]) for m in self.cover.finditer(low)) / n,
             sum(c in "-/." for c in found) / n,
             float(bool(re.fullmatch(r"[0-9a-f]+", found)) or 2 * bool(re.fullmatch(r"[0-9.\-+]+", found))),
-            float(any(x in NAMES for x in named)),
+            float(any(x in NAMES or x.endswith(("password", "secret", "token")) for x in named)),
             float(sum(x in NAMES for x in near)),
             float(sum(x in OTHERS for x in near) + sum(x in OTHERS for x in named)),
             float(any(x in SAMPLES for x in re.findall(r"[a-z]+", path.lower()))),
+            sum(not c.isalnum() and c not in "-/._" for c in found) / n,
+            float(bool(PREFIX.match(found))),
+            float(len(re.findall(r"[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+", found))) / n,
+            float(bool(re.fullmatch(r"[$%]?[{<(\[]+[\w. \-]+[})>\]]+s?|\$\w+|[\w.]+\(\)|(\W)\1+|[xX]+", found))),
         ]
 
 
+def named_values(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spans of the values after words that name a secret, and their names, in order and apart."""
+    low = text.lower() if text.isascii() else "".join(c.lower() if c < "\x80" else c for c in text)
+    last = 0
+    for at, stem in sorted({(m, stem) for stem in STEMS for m in _places(low, stem)}, key=lambda x: (x[0], -len(x[1]))):
+        if at < last or not (m := VALUE.match(text, at + len(stem))):
+            continue
+        group = next(g for g in (3, 4, 5, 6) if m[g] is not None)
+        start, end = m.span(group)
+        if group == 6:
+            cut = STOP.search(text, start + 1, end)
+            end = cut.start() if cut else end
+            while end > start and (text[end - 1] in ".,;:\\\"'`" or text[end - 1] in CLOSING and CLOSING[text[end - 1]] not in text[start : end - 1]):
+                end -= 1
+        value, left = text[start:end], at
+        while left > max(0, at - 40) and (text[left - 1].isascii() and text[left - 1].isalnum() or text[left - 1] in "_-."):
+            left -= 1
+        if len(value) < LEAST:
+            continue
+        # after a mere blank a word of prose is no value: one with a digit or sign beside a letter is, or a long one
+        if m[2] and (m[1] not in ("", "s") or left < at or group == 6 and len(value) < SHORTEST and not re.search(r"[A-Za-z]\S*[0-9!@#$%^&*]|[0-9!@#$%^&*]\S*[A-Za-z]", value)):
+            continue
+        if group == 6 and not m[2] and any(x in value.lower() for x in STEMS) and re.search(r"\w[\"']?[:=]\S{4}", value) and VALUE.search(value):
+            continue  # it names another value
+        if group == 6 and m[2] and re.match(r"[\w.\-]+[\"']?(?:[:=]|=>)", value):
+            continue
+        last = end
+        yield start, end, text[left:at] + text[at : at + len(stem)] + m[1]
+
+
+def _places(text: str, word: str) -> Iterator[int]:
+    at = text.find(word)
+    while at >= 0:
+        yield at
+        at = text.find(word, at + 1)
+
+
 def candidates(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
-    """Spans [start, end) in the text and the name given to each, from runs of candidate characters."""
+    """Spans [start, end) in the text and the name given to each: values after names of secrets, then from runs of candidate characters outside of them."""
+    taken = list(named_values(text))
+    yield from taken
+    k = 0
     for a, b in runs:
         run = text[a:b]
         name, eq, value = run.partition("=")
@@ -89,23 +144,31 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, in
         else:
             start, found, name = a, run, ""
         found = found.rstrip(".-_")
-        if len(found) >= SHORTEST and re.search(r"[0-9]", found):
+        end = start + len(found)
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        if len(found) >= SHORTEST and not (k < len(taken) and taken[k][0] < end):
             if not name:
                 m = re.search(r"([A-Za-z_]+)[\"']?\s*[:=]\s*[\"']?$", text[max(0, start - 40) : start])
                 name = m[1] if m else ""
-            yield start, start + len(found), name
+            yield start, end, name
 
 
 def labelled_findings(n: int = 400, seed: int = 9) -> list[tuple[str, str, str, str, str, int]]:
     """Labelled findings (found, name, before, after, path, label) for training where none are given.
 
     Drawn from rules: keys, tokens and passwords as issued, against commit
-    hashes, checksums, identifiers, numbers, dates, paths and placeholders.
+    hashes, checksums, identifiers, numbers, dates, paths and placeholders, code, and words of prose after the name of a secret.
     """
     draw = np.random.default_rng(seed)
     hexa, upper, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     text = lambda chars, k: "".join(chars[i] for i in draw.integers(0, len(chars), k))
     words = lambda k, sep: sep.join(WORDS[i] for i in draw.integers(0, len(WORDS), k))
+    chosen = lambda: words(1, "").capitalize() + text("0123456789", int(draw.integers(1, 5))) + str(draw.choice(["!", "@", "#", "$", "", "!!"])) + text(mixed, int(draw.integers(0, 4)))
+    syllables = lambda k: "".join(text("bcdfghjklmnprstvwz", 1) + text("aeiou", 1) + text("nrstlmh", int(draw.integers(0, 2))) for _ in range(k))
+    cased = lambda word: [word, word.capitalize(), word.upper()][int(draw.integers(0, 3))]
+    other = lambda: str(draw.choice(["author", "keyboard", "monkey", "passenger", "tokenizer", "authority", ""]))
+    spelt = lambda: words(2, str(draw.choice(["", "!", "&", "_", "#"]))).translate(str.maketrans(dict(zip("oeias", draw.choice(["0314$", "03i@s", "0e!45", "o31@5"]), strict=True)))) + str(draw.choice(["", "!", "1", "7", "&3"]))
     out = []
     for _ in range(n):
         name = str(draw.choice(["password", "token", "secret", "api_key", "key", "auth"]))
@@ -124,6 +187,26 @@ def labelled_findings(n: int = 400, seed: int = 9) -> list[tuple[str, str, str,
             ("/".join([words(1, ""), str(draw.integers(2000, 2030)), words(2, "-")]) + ".html", "file", before + "file ", after, path, 0),
             (str(draw.choice(["your_password_here_123", "changeme-changeme-1", "xxxxxxxxxxxxxxxxxxx0", "example_token_000000"])), name, before + "example " + name + " ", after, str(draw.choice(["docs", "test/fixtures"])), 0),
             (text(mixed, 24), name, before + "example sample " + name + " ", after, str(draw.choice(["docs/example", "tests"])), 0),
+            (chosen(), name, before + name + " ", after, path, 1),
+            (spelt(), name, before + name + " ", after, path, 1),
+            (words(int(draw.integers(3, 5)), "") + str(draw.choice(["", "", "1", "!"])), name, before + name + " ", after, path, 1),
+            (text(mixed + "!@#$%^&*", int(draw.integers(8, 20))), name, before + name + " ", after, path, 1),
+            (text(mixed[:52], int(draw.integers(16, 41))), name, before + name + " ", after, path, 1),
+            (text(mixed[:26], int(draw.integers(16, 41))), name, before + name + " ", after, path, 1),
+            (text(mixed[26:52], int(draw.integers(20, 41))), name, before + name + " ", after, path, 1),
+            (words(1, ""), name, before + name + " ", after, path, 0),
+            (str(draw.choice(NOTHING)), name, before + name + " ", after, path, 0),
+            (words(2, str(draw.choice([".", "_", "-", " ", "/"]))) + str(draw.choice(["", "()", "[0]", ",", ")"])), name, before + name + " ", after, path, 0),
+            (str(draw.choice(["${", "{{", "<", "$", "%("])) + words(int(draw.integers(1, 3)), "_").upper() + str(draw.choice(["}", "}}", ">", "", ")s"])), name, before + name + " ", after, path, 0),
+            (words(int(draw.integers(3, 6)), str(draw.choice(["-", "_", "/", "."]))), str(draw.choice(["", "name", name])), before, after, path, 0),
+            (words(int(draw.integers(3, 6)), ""), "", before, after, path, 0),
+            (cased(words(1, "")), str(draw.choice([other(), name])), before, after, path, 0),
+            (cased(syllables(int(draw.integers(2, 5)))), other(), before, after, path, 0),
+            (cased(syllables(int(draw.integers(7, 14)))), "", before, after, path, 0),
+            (cased(words(int(draw.integers(4, 7)), "")), "", before, after, path, 0),
+            (text(mixed[:52], int(draw.integers(24, 45))), "", before, after, path, 1),
+            ("".join(w.capitalize() for w in words(int(draw.integers(3, 5)), " ").split()), "", before, after, path, 0),
+            (text("0123456789", int(draw.integers(1, 4))) + str(draw.choice(["", "px", "%", "ms", ":00"])), name, before + name + " ", after, path, 0),
         ]
     return out
 
@@ -187,16 +270,18 @@ def scan_secrets(docs: DataFrame, forest: list, *, path: str = "source", report:
     assigned to, or empty), found_sha256 (the secret itself isn't repeated) and
     score, the forest's share of votes, at least ``report``.
 
-    A candidate is a run of 16 or more of ``A-Za-z0-9+/_-=.`` with a digit in it;
-    of ``name=value`` the value.  Null or empty text: no rows.  Null path: empty.
-    Null doc_id: kept.  Repeated rows and repeated secrets: a row for each.  No
+    A candidate is a value of 4 or more characters after a word that names a secret
+    (password, token, key ...) and a sign, "is" or a blank, up to its closing
+    quote or the next blank; after a blank alone it has a digit or sign beside a
+    letter, or 16 characters.  So is any other run of 16 or more of
+    ``A-Za-z0-9+/_-=.``; of ``name=value`` the value.  The forest decides.
+
+    Null or empty text: no rows.  Null path: empty.  Null doc_id: kept.  Repeated rows and repeated secrets: a row for each.  No
     rows: no rows.  Other columns are ignored.  Texts are scanned whole; no
     shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(forest)  # trees times 2 ** depth nodes at most
     outside = bytes(set(range(256)) - set(INSIDE))
-    digit = np.zeros(256, bool)
-    digit[list(b"0123456789")] = True
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees, describe = shared.value, Describe(words)
@@ -204,17 +289,18 @@ def scan_secrets(docs: DataFrame, forest: list, *, path: str = "source", report:
             for s in slices(b, "text"):
                 x = Text(s.column("text"))
                 start, end, first = x.words(outside)
-                digits = np.concatenate(([0], np.cumsum(digit[x.bytes])))
-                some = np.flatnonzero((end - start >= SHORTEST) & (digits[end] > digits[start]))
+                some = np.flatnonzero(end - start >= SHORTEST)
                 row = np.searchsorted(first, some, "right") - 1
                 rows, features = [], []
-                for i in np.unique(row).tolist():
+                bounds = np.searchsorted(row, np.arange(s.num_rows + 1))
+                for i in np.flatnonzero(x.offsets[:-1] < x.offsets[1:]).tolist():
                     text, where = s.column("text")[i].as_py(), s.column("path")[i].as_py() or ""
-                    raw = text.encode()
-                    at = some[row == i]
-                    base = int(x.offsets[i])
-                    chars = lambda k, raw=raw, base=base: len(raw[: int(k) - base].decode())
-                    for a, z, name in candidates(text, [(chars(start[k]), chars(end[k])) for k in at]):
+                    at, base = some[bounds[i] : bounds[i + 1]], int(x.offsets[i])
+                    first_byte, last_byte = start[at] - base, end[at] - base
+                    if not text.isascii():  # code points before a byte
+                        points = np.concatenate(([0], np.cumsum((x.bytes[base : int(x.offsets[i + 1])] & 0xC0) != 0x80)))
+                        first_byte, last_byte = points[first_byte], points[last_byte]
+                    for a, z, name in candidates(text, list(zip(first_byte.tolist(), last_byte.tolist(), strict=True))):
                         rows.append((i, a, z, name, text[a:z]))
                         features.append(describe(text[a:z], name, text[max(0, a - 60) : a], text[z : z + 40], where))
                 if rows:
