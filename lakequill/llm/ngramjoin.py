@@ -300,8 +300,16 @@ def join_near(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THR
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least doc_id (of equal ids, the least text)."""
-    classes = join_near(docs, **how).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(classes, docs["doc_id"].cast("bigint") == classes["_kept"], "left_semi")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    """``docs`` with one document of each class: the one with the least doc_id (of equal ids, the least text with words).
+
+    All texts without words (null, empty, blank) are one class here.  Rows with a
+    null doc_id stay.
+    """
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    written, empty = docs.filter(~blank | F.col("doc_id").isNull()), docs.filter(blank)
+    classes = join_near(written, **how).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = written.join(classes, docs["doc_id"].cast("bigint") == classes["_kept"], "left_semi")
+    first = empty.agg(F.min("doc_id").alias("_kept"))  # one row
+    kept = kept.unionByName(empty.join(F.broadcast(first), F.col("doc_id") == F.col("_kept"), "left_semi"))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(blank, "text"))
     return kept.withColumn("_number", number).filter("_number = 1").drop("_number").unionByName(docs.filter("doc_id is null"))

@@ -89,6 +89,12 @@ def test_near_copies_edges(spark):
     assert rows_of(kept) == [(2, "a b", "s"), (None, "a b", "s")]
 
 
+def test_one_of_the_texts_without_words_stays(spark):
+    rows = [(4, "", "s"), (3, " \n\t", "s"), (5, None, "s"), (6, "", "s"), (6, "a b", "s"), (2, "a b c", "s"), (3, "a b c", "s"), (None, "", "s"), (None, "", "s")]
+    kept = ngramjoin.keep_one_of_each(spark.createDataFrame(rows, DOCS))
+    assert rows_of(kept) == sorted([(2, "a b c", "s"), (3, " \n\t", "s"), (6, "a b", "s"), (None, "", "s"), (None, "", "s")], key=str)
+
+
 def test_posterior_table():
     least = ngramjoin.needed(0.8, 1e-9)
     assert least[1] == 0 and 80 < least[160] < 110 and (least[1:] >= least[:-1]).all()
