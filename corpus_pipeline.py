@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakequill.llm.common import Workspace, table
 from lakequill.llm.decontam import contaminated, decontaminate
@@ -21,7 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines lose all but their first copy; documents stay, n_chars follows the text."""
-    out = dedup_lines(docs)
+    return _counted(dedup_lines(docs), docs)
+
+
+def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with n_chars counted anew."""
     return out.selectExpr(*[f"CAST(length(text) AS {docs.schema['n_chars'].dataType.simpleString()}) AS n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
 
 
@@ -31,9 +36,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages make up a twentieth or more go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~contaminated()).select(*docs.columns)
+    """Documents of which benchmark passages make up a twentieth or more go; the others lose the passages, n_chars follows the text.
+
+    What stands around a passage stays as it is.  Passages that only come
+    together by a cut are not looked for.
+    """
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~contaminated())
+    before = "coalesce(get(hits, i - 1).end, 0)"
+    rest = f"array_join(transform(sequence(0, size(hits)), i -> substring(text, {before} + 1, coalesce(get(hits, i).start, length(text)) - {before})), '')"
+    found = found.withColumn("text", F.when(F.size("hits") > 0, F.expr(rest)).otherwise(F.col("text")))
+    return _counted(found, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

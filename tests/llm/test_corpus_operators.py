@@ -427,6 +427,19 @@ def test_pipeline(spark, corpus, tmp_path):
     assert final and all(0 < r["taken"] <= 3 * r["size"] for r in final)
 
 
+def test_pipeline_cuts_benchmark_passages(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(11)
+    item, other, a, b, c = (prose(draw, n) for n in (13, 14, 400, 300, 200))
+    rows = [(1, f"{a}. {item}! é\U0001f600 {b}\n{other.upper()}, {c}", "s"), (2, a, "s"), (3, f"{item} {prose(draw, 40)}", "s"), (4, f"{item} {a}", "s"), (5, f"{a} {item}", "s"), (6, "", "s"), (7, None, "s")]
+    spark.createDataFrame([(1, item), (2, other)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCS + ", n_chars bigint")
+    got = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    want = [(1, f"{a}. ! é\U0001f600 {b}\n, {c}"), (2, a), (4, f" {a}"), (5, f"{a} "), (6, ""), (7, None)]
+    assert rows_of(got) == [(i, t, "s", None if t is None else len(t)) for i, t in want]
+
+
 def test_substring_chunks_follow_the_input(spark, monkeypatch):
     monkeypatch.setattr(substring, "CHUNK_BYTES", 40)
     t = " ".join(map(str, range(25)))
