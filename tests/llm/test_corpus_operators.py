@@ -440,6 +440,106 @@ def test_pipeline_cuts_benchmark_passages(spark, tmp_path):
     assert rows_of(got) == [(i, t, "s", None if t is None else len(t)) for i, t in want]
 
 
+def plain_pipeline(rows, items):
+    """The stages after the toxicity model's in plain Python, over (doc_id, text, source)."""
+    sites, seen, out = collections.defaultdict(set), set(), []
+    for _, t, s in rows:
+        for x in (t or "").split("\n"):
+            sites[x.strip(" \t\n\x0b\x0c\r")].add(s)
+    for i, t, s in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = []
+        for x in (t or "").split("\n"):
+            k = x.strip(" \t\n\x0b\x0c\r")
+            if not (k and len(sites[k]) >= 10 and k in seen):
+                lines.append(x)
+            if k:
+                seen.add(k)
+        out.append((i, None if t is None else "\n".join(lines), s))
+
+    sets = []
+    for _, t, _ in out:
+        w = words_of(t)
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})  # texts without words are one class
+    leader = list(range(len(out)))
+
+    def find(x):
+        while leader[x] != x:
+            x = leader[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(out)), 2):
+        if out[a][0] is not None and out[b][0] is not None and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            leader[max(find(a), find(b))] = min(find(a), find(b))
+    out = [r for k, r in enumerate(out) if find(k) == k]  # rows are in order of doc_id
+
+    windows, clean = set(), []
+    split = lambda t: [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))]
+    for t in items:
+        w = [x for x, _, _ in split(t)]
+        windows |= {tuple(w[p : p + 13]) for p in range(max(1, len(w) - 12) if w else 0)}
+    for i, t, s in out:
+        w, hit = split(t), set()
+        for n in {len(k) for k in windows}:
+            for p in range(len(w) - n + 1):
+                if tuple(x for x, _, _ in w[p : p + n]) in windows:
+                    hit |= set(range(p, p + n))
+        if hit and 20 * len(hit) >= len(w):
+            continue
+        for k in sorted(hit, reverse=True):
+            t = t[: w[k][1]] + t[w[k + 1][1] if k + 1 in hit else w[k][2] :]
+        clean.append((i, t, s))
+
+    per, want = collections.Counter(), []
+    for _, t, s in clean:
+        per[s] += len(words_of(t))
+    order = sorted((s for s in per if s is not None), key=lambda s: s.encode()) + [None] * (None in per)
+    weight, cap, target, free, left = {s: k % 3 + 1 for k, s in enumerate(order)}, {s: 3 * n for s, n in per.items()}, {}, set(per), sum(per.values())
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        full = {s for s in free if share[s] >= cap[s]}
+        target |= {s: cap[s] for s in full} or share
+        left, free = left - sum(cap[s] for s in full), free - full if full else set()
+
+    def key(r):
+        text = r[1] or ""
+        u = (int(hashlib.md5(f"17:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        return u ** (1 / max(0.05, sum(c not in mixing.SIGNS for c in text) / len(text))) if text else u
+
+    for s in per:
+        budget = int(target[s] + 0.5)
+        epochs, rest = divmod(budget, per[s]) if per[s] else (0, 0)
+        for i, t, _ in sorted((r for r in clean if r[2] == s), key=lambda r: (-key(r), r[0] is not None, r[0] or 0)):
+            size = len(words_of(t))
+            part = min(size, rest)
+            rest -= part
+            if epochs * size + part:
+                want.append((i, t, "en", s, len(t), size, per[s], round(float(target[s]), 6), epochs * size + part))
+    return want
+
+
+def test_pipeline_by_brute_force(spark, corpus, tmp_path):
+    import corpus_pipeline
+    from lakequill.llm.toxicity import REJECT, fit_toxicity, score_toxicity
+
+    draw, d = random.Random(12), str(tmp_path)
+    item = prose(draw, 15)
+    rows = [*corpus, *((600 + i, f"All rights of this text\n{prose(draw, 30)} {'vile worm' if i % 5 == 0 else ''}\nAll rights of this text", f"t{i % 12}") for i in range(60))]
+    rows += [(700, f"{prose(draw, 400)} {item} {prose(draw, 100)}", "s1"), (701, f"{item} {prose(draw, 30)}", "s1"), (None, prose(draw, 50), "s2")]
+    rows += [(710 + i, "All rights of this text", f"t{i}") for i in range(4)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(600 + i, 1, int(i % 5 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, corpus[45][1]), (2, item)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    scored = score_toxicity(docs, fit_toxicity(docs, labels)).collect()
+    passed = [(r["doc_id"], r["text"], r["source"]) for r in scored if r["score"] < REJECT]
+    want = plain_pipeline(passed, [corpus[45][1], item])
+    got = [(*r[:7], round(r[7], 6), r[8]) for r in corpus_pipeline.run(spark, d).collect()]
+    assert len(passed) < len(rows) and sorted(got, key=str) == sorted(want, key=str)
+    assert any(r[0] == 700 for r in plain_pipeline([r for r in rows if r[0] == 700], [item]))
+
+
 def test_substring_chunks_follow_the_input(spark, monkeypatch):
     monkeypatch.setattr(substring, "CHUNK_BYTES", 40)
     t = " ".join(map(str, range(25)))
