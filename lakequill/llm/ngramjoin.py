@@ -28,6 +28,11 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 #: MinHash values of a document (one-permutation hashing) and values in a band: at
 #: similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 40 = 7e-10.
 BINS, BAND = 160, 4
+#: Documents of at most FEW values meet on single values too: with 4 or 5 shared shingles
+#: and one more, all in one band, no band is shared with 40 ** -4 or 40 ** -5. From 6 shared
+#: ones on that is under 3e-10; on single values it is under 160 ** -4 = 2e-9, times the
+#: chance, a fifth, that the one more is least of its range.
+FEW = 6
 #: MinHash values compared before the posterior is looked up again.
 STEP = 32
 #: Members compared in one go, as signatures and as sets.
@@ -138,9 +143,14 @@ def sketch_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        bands = _matrix(b.column("sig")).reshape(b.num_rows, BINS // BAND, BAND).copy().view(np.uint64)[:, :, 0]
+        sig = _matrix(b.column("sig"))
+        bands = sig.reshape(b.num_rows, BINS // BAND, BAND).copy().view(np.uint64)[:, :, 0]
         row, k = np.nonzero(bands)
         key = mix(bands[row, k] ^ mix(k.astype(np.uint64) + np.uint64(1)))
+        few = np.flatnonzero((sig > 0).sum(1) <= FEW)
+        i, k = np.nonzero(sig[few])
+        key = np.concatenate((key, mix(sig[few][i, k].astype(np.uint64) ^ mix(k.astype(np.uint64) + np.uint64(1 + BINS)))))
+        row = np.concatenate((row, few[i]))
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("rep").take(pa.array(row))], names=["band", "rep"])
 
 
@@ -232,7 +242,8 @@ def join_near(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THR
     least ``threshold``.  n_links counts the other documents a document is
     linked with, copies among them; class_id is the least doc_id of those
     reachable over links; copy_of the least doc_id with an equal set.  A linked
-    pair is lost with the probability 7e-10 that it shares no band, and with
+    pair is lost with the probability, 7e-10 at most, that it shares no band (nor,
+    of documents of few shingles, a single value), and with
     about ``tolerance`` that it is pruned.
 
     A document of fewer words has one shingle, all its words; null, empty and

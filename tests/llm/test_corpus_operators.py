@@ -89,6 +89,20 @@ def test_near_copies_edges(spark):
     assert rows_of(kept) == [(2, "a b", "s"), (None, "a b", "s")]
 
 
+def test_short_texts_meet_on_single_values():
+    import numpy as np
+    import pyarrow as pa
+
+    sig = np.zeros((3, ngramjoin.BINS), np.uint16)
+    sig[0, :3], sig[1, :4], sig[2, 40:48] = [5, 6, 7], [5, 6, 7, 8], 9  # all in one band, which the fourth value changes
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([x.tobytes() for x in sig], pa.binary())], names=["rep", "sig"])
+    keys = collections.defaultdict(set)
+    for b in ngramjoin._bands([batch]):
+        for band, rep in zip(b.column("band").to_pylist(), b.column("rep").to_pylist()):
+            keys[rep].add(band)
+    assert len(keys[1] & keys[2]) == 3 and len(keys[3]) == 2
+
+
 def test_one_of_the_texts_without_words_stays(spark):
     rows = [(4, "", "s"), (3, " \n\t", "s"), (5, None, "s"), (6, "", "s"), (6, "a b", "s"), (2, "a b c", "s"), (3, "a b c", "s"), (None, "", "s"), (None, "", "s")]
     kept = ngramjoin.keep_one_of_each(spark.createDataFrame(rows, DOCS))
