@@ -104,3 +104,14 @@ def test_stream_rollup_matches_batch(spark, tmp_path):
         assert sorted(values(spark.table("rolled"), "bucket", "event_type", "n")) == sorted(values(batch))
     finally:
         q.stop()
+
+
+def test_json_changes_of_every_document(spark):
+    from lakequill.plans.queries import DOC, documents_of
+
+    doc, docs = F.col("doc"), documents_of(spark)
+    more = lambda member: DOC.replace('"n": 5, ', f'"n": 5, {member}, ')
+    assert values(docs, "id", J.path_match(doc, "$.n > 3")) == [(1, True), (2, False), (3, None), (4, None), (5, False)]
+    assert values(docs, "id", J.json_concat(doc, F.lit('{"z": 0}'))) == [(1, more('"z": 0')), (2, '{"n": 1, "z": 0}'), (3, None), (4, None), (5, '[1, [2, 3], {"z": 0}]')]
+    assert values(docs, "id", J.json_set(doc, ["new"], True)) == [(1, more('"new": true')), (2, '{"n": 1, "new": true}'), (3, None), (4, None), (5, "[1, [2, 3]]")]
+    assert values(docs, "id", J.json_insert(doc, ["1", "1"], 9)) == [(1, DOC), (2, '{"n": 1}'), (3, None), (4, None), (5, "[1, [2, 9, 3]]")]
