@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import json
 import random
 import re
 import zlib
@@ -560,3 +561,32 @@ def test_substring_chunks_follow_the_input(spark, monkeypatch):
     rows = [(i, t, "s") for i in range(9)] + [(9, None, "s")]
     got = substring.remove_repeats(spark.createDataFrame(rows, DOCS))
     assert rows_of(got.select("doc_id", "n_removed")) == [(0, 0), *[(i, 25) for i in range(1, 9)], (9, 0)]
+
+
+def test_a_benchmark_of_many_bounds_is_found_whole(spark):
+    draw = random.Random(14)
+    long = prose(draw, 2500, 3000)  # one item of some 8 bounds
+    items = [(0, long), *((k, prose(draw, 60, 3000)) for k in range(1, 40)), (40, "two words"), (None, prose(draw, 30, 3000))]
+    bound = 1500
+    assert len(long) > 7 * bound and sum(len(t) for _, t in items) > 15 * bound
+    w = long.split()
+    rows = [(k, f"{prose(draw, 300)} {' '.join(w[a : a + n])} {prose(draw, 50)}", "s") for k, (a, n) in enumerate([(0, 13), (700, 12), (1200, 400), (2487, 13), (0, 2500)])]
+    rows += [(100 + k, f"x {items[1 + k][1]} y two, WORDS", "s") for k in range(30)] + [(200, None, "s"), (201, "", "s"), (202, rows[0][1], "s"), (None, rows[0][1], None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"h1": F.lit("clash"), "doc": F.lit(1), "found": F.lit(2)})
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    told = lambda df: rows_of(df.select("doc_id", "n_words", "n_hit", F.to_json("hits"), F.to_json("items"), "whole_window", "h1", "doc", "found"))
+    one, many = told(decontam.decontaminate(docs, bench)), told(decontam.decontaminate(docs, bench, automaton_bytes=bound))
+    assert one == many
+    got = {r[0]: r[2:] for r in one}
+    assert [got[k][0] for k in range(5)] == [13, 0, 400, 13, 2500] and got[100][:1] == (62,) and json.loads(got[100][2]) == ["1", "40"]
+    assert [got[k][3] for k in (0, 1, 2, 100, 200)] == [True, False, True, True, False]
+
+
+def test_windows_of_many_items():
+    draw = random.Random(15)
+    passage = prose(draw, 20)
+    items = [(k, f"{passage} w{k}") for k in range(3000)] + [(k, passage) for k in range(5000, 8000)]
+    n, runs, ids = decontam.Scanner(items, 13)(f"a b {passage} c")
+    assert (n, runs) == (23, [(2, 22)]) and ids == {k for k, _ in items}
+    short = decontam.Scanner([(1, "just four words here"), (2, "one")], 13)
+    assert short.scan("x just four WORDS here one") == (6, [(1, 6)], {1, 2}, False)
