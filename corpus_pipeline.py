@@ -14,14 +14,20 @@ from lakequill.llm.toxicity import REJECT, fit_toxicity, score_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from the labelled ones among them."""
+    """Documents that the toxicity model rejects go; it learns from the labelled ones among them.
+
+    All stay where there is nothing to learn from: no labelled documents, or
+    toxic or clean ones only.  Null and empty texts score as the model's bias.
+    """
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    if not model.usable:
+        return docs
     scored = score_toxicity(docs, model)
     return scored.filter(scored["score"] < REJECT).drop("score")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines lose all but their first copy; documents stay, n_chars follows the text."""
+    """Boilerplate lines lose all but their first copy; documents stay, n_chars follows the text; null texts stay null."""
     return _counted(dedup_lines(docs), docs)
 
 
@@ -31,17 +37,20 @@ def _counted(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, and one of those without words; rows with a null doc_id stay."""
     return keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark passages make up a twentieth or more go; the others lose the passages, n_chars follows the text.
+    """Documents with a full window (13 words) of a benchmark item go, however long they are.
 
-    What stands around a passage stays as it is.  Passages that only come
-    together by a cut are not looked for.
+    An item of fewer words may be a common phrase, so it takes a document with it
+    only if hit words make up a twentieth or more; other documents lose such
+    passages, n_chars follows the text, and what stands around them stays as it
+    is.  Passages that only come together by a cut are not looked for.  Null and
+    empty texts stay; an empty benchmark leaves all as it is.
     """
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~contaminated())
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~(F.col("whole_window") | contaminated()))
     before = "coalesce(get(hits, i - 1).end, 0)"
     rest = f"array_join(transform(sequence(0, size(hits)), i -> substring(text, {before} + 1, coalesce(get(hits, i).start, length(text)) - {before})), '')"
     found = found.withColumn("text", F.when(F.size("hits") > 0, F.expr(rest)).otherwise(F.col("text")))
@@ -49,7 +58,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the words it takes of each (repeats counted)."""
+    """The documents that the mix takes, with the words it takes of each (repeats counted); texts without words are not taken."""
     out = mix_sources(docs, payload=["text", "lang", "source", "n_chars"])
     return out.filter("taken > 0").select("doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken")
 
