@@ -446,7 +446,7 @@ def test_pipeline_cuts_benchmark_passages(spark, tmp_path):
     import corpus_pipeline
 
     draw = random.Random(11)
-    item, other, a, b, c = (prose(draw, n) for n in (13, 14, 400, 300, 200))
+    item, other, a, b, c = (prose(draw, n) for n in (12, 11, 400, 300, 200))  # short items: a full window takes the document
     rows = [(1, f"{a}. {item}! é\U0001f600 {b}\n{other.upper()}, {c}", "s"), (2, a, "s"), (3, f"{item} {prose(draw, 40)}", "s"), (4, f"{item} {a}", "s"), (5, f"{a} {item}", "s"), (6, "", "s"), (7, None, "s")]
     spark.createDataFrame([(1, item), (2, other)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], DOCS + ", n_chars bigint")
@@ -498,7 +498,8 @@ def plain_pipeline(rows, items):
             for p in range(len(w) - n + 1):
                 if tuple(x for x, _, _ in w[p : p + n]) in windows:
                     hit |= set(range(p, p + n))
-        if hit and 20 * len(hit) >= len(w):
+        full = any(len(k) == 13 and tuple(x for x, _, _ in w[p : p + 13]) == k for k in windows for p in range(len(w) - 12))
+        if full or hit and 20 * len(hit) >= len(w):
             continue
         for k in sorted(hit, reverse=True):
             t = t[: w[k][1]] + t[w[k + 1][1] if k + 1 in hit else w[k][2] :]
@@ -537,22 +538,22 @@ def test_pipeline_by_brute_force(spark, corpus, tmp_path):
     from lakequill.llm.toxicity import REJECT, fit_toxicity, score_toxicity
 
     draw, d = random.Random(12), str(tmp_path)
-    item = prose(draw, 15)
+    item, full = prose(draw, 12), prose(draw, 18)
     rows = [*corpus, *((600 + i, f"All rights of this text\n{prose(draw, 30)} {'vile worm' if i % 5 == 0 else ''}\nAll rights of this text", f"t{i % 12}") for i in range(60))]
-    rows += [(700, f"{prose(draw, 400)} {item} {prose(draw, 100)}", "s1"), (701, f"{item} {prose(draw, 30)}", "s1"), (None, prose(draw, 50), "s2")]
+    rows += [(700, f"{prose(draw, 400)} {item} {prose(draw, 100)}", "s1"), (701, f"{item} {prose(draw, 30)}", "s1"), (702, f"{prose(draw, 700)} {full} {prose(draw, 300)}", "s1"), (None, prose(draw, 50), "s2")]
     rows += [(710 + i, "All rights of this text", f"t{i}") for i in range(4)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], schema).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(600 + i, 1, int(i % 5 == 0)) for i in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(1, corpus[45][1]), (2, item)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, corpus[45][1]), (2, item), (3, full)], "item_id bigint, text string").write.parquet(f"{d}/benchmark.parquet")
 
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     scored = score_toxicity(docs, fit_toxicity(docs, labels)).collect()
     passed = [(r["doc_id"], r["text"], r["source"]) for r in scored if r["score"] < REJECT]
-    want = plain_pipeline(passed, [corpus[45][1], item])
+    want = plain_pipeline(passed, [corpus[45][1], item, full])
     got = [(*r[:7], round(r[7], 6), r[8]) for r in corpus_pipeline.run(spark, d).collect()]
     assert len(passed) < len(rows) and sorted(got, key=str) == sorted(want, key=str)
-    assert any(r[0] == 700 for r in plain_pipeline([r for r in rows if r[0] == 700], [item]))
+    assert [r[0] for r in plain_pipeline([r for r in rows if r[0] in (700, 702)], [item, full])] == [700]
 
 
 def test_substring_chunks_follow_the_input(spark, monkeypatch):
@@ -590,3 +591,69 @@ def test_windows_of_many_items():
     assert (n, runs) == (23, [(2, 22)]) and ids == {k for k, _ in items}
     short = decontam.Scanner([(1, "just four words here"), (2, "one")], 13)
     assert short.scan("x just four WORDS here one") == (6, [(1, 6)], {1, 2}, False)
+
+
+def test_pipeline_drops_documents_with_a_full_window(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(13)
+    item = prose(draw, 30)
+    w, a, b = item.split(), prose(draw, 600), prose(draw, 400)
+    rows = [(1, f"{a} {' '.join(w[5:23])} {b}"), (2, f"{a} {' '.join(w[:13]).upper()} {b}"), (3, f"{a} {' '.join(w[3:15])} {b}"), (4, a), (5, None), (6, ""), (7, item), (None, f"{a}, {item}"), (None, b)]
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(*r, "s", len(r[1] or "")) for r in rows], DOCS + ", n_chars bigint")
+    got = rows_of(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).select("doc_id", "text"))
+    assert got == sorted([r for r in rows if r[0] in (3, 4, 5, 6) or r == (None, b)], key=str)
+
+
+def write_tables(spark, folder, docs, labels, items):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in docs], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+@pytest.mark.parametrize("labels", [[], [(i, 1, 1) for i in range(20)], [(i, 1, 0) for i in range(20)], [(None, 1, 1), (3, 1, None), (99, 1, 1), (98, 1, 0)]])
+def test_pipeline_without_usable_labels_keeps_clean_documents(spark, tmp_path, labels):
+    import corpus_pipeline
+
+    draw = random.Random(16)
+    rows = [(i, prose(draw, 50, 5000), f"s{i % 4}") for i in range(20)] + [(50, None, None), (None, prose(draw, 40, 5000), None)]
+    write_tables(spark, str(tmp_path), rows, labels, [])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert rows_of(corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))) == rows_of(docs)
+    if not labels:
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert sum(r["taken"] for r in got) >= sum(len(words_of(t)) for _, t, _ in rows) - 4 and len(got) > 15
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    write_tables(spark, str(tmp_path), [], [(1, 1, 0), (2, 1, 1)], [(1, "a b c")])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_toxicity_held_out(spark):
+    """Recall and false positives on the labelled documents of the fold that the model never saw."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    known = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter(toxicity.held_out(F.col("doc_id")))
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.usable and len(model.features) < 5000
+    got = toxicity.score_toxicity(known, model).select("toxic", "score").collect()
+    toxic, clean = ([r["score"] for r in got if r["toxic"] == y] for y in (1, 0))
+    assert len(toxic) > 80 and sum(x >= toxicity.REJECT for x in toxic) >= 0.85 * len(toxic)
+    assert len(clean) > 500 and sum(x >= toxicity.REJECT for x in clean) <= 0.01 * len(clean)
+
+
+def test_toxicity_bounds_and_choice(spark):
+    draw = random.Random(17)
+    rows = [(i, prose(draw, 30) + (" vile worm" if i % 3 == 0 else ""), "s") for i in range(90)]
+    docs = spark.createDataFrame(rows + [(1, f"copy {i}", "s") for i in range(50)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id bigint, quality int, toxic int")
+    held = {i for i in range(90) if zlib.crc32(str(i).encode()) % 4 == 2}
+    model = toxicity.fit_toxicity(docs, labels, bits=16, choices=({"l1": 1e9}, {"l1": 1.0}))
+    assert 1 not in held and (model.clean, model.toxic) == (sum(i % 3 > 0 for i in set(range(90)) - held) + toxicity.MOST_COPIES - 1, sum(i % 3 == 0 for i in set(range(90)) - held))
+    assert len(model.features) > 0  # the choice that learns nothing has the greater loss
+    assert not toxicity.fit_toxicity(docs, labels.filter("toxic = 1"), bits=16).usable and not toxicity.fit_toxicity(docs, labels.limit(0), bits=16).usable
