@@ -2,20 +2,24 @@
 
 Seeds: of every run of ANCHORS consecutive 8-word hashes the least is an anchor
 (winnowing), so two equal 20-word windows always share one.  Documents meet on
-anchors that stand in more than one place.  Extend: around each such anchor the
-match is extended both ways to every 20-word window that it anchors, and equal
-windows meet again under 128 bits of hash.  Windows of one document that overlap
-or touch join to maximal repeats, and all but the first occurrence goes.
-
-Documents are dealt once into chunks by hash of doc_id.  A chunk asks about its
-distinct anchors (and then windows) in packed arrays, one row for each bucket of
-hashes, and gets one bit for each back: hot anchors cost one entry a chunk.
+anchors that stand in more than one place.  Extend: all occurrences of an
+anchor meet with the words around them and are extended a word at a time, to
+the left and to the right; occurrences whose words agree stay together, and when
+left and right make up 20 words only the first of those still together isn't a
+repeat.  So no pair of occurrences is looked at.  What a document repeats joins
+to maximal repeats, and all but the first occurrence goes.
+
+An anchor with more than HOT occurrences (boilerplate) would bring them all to one
+task.  Its occurrences are extended where they stand, to each 20-word window
+around it, and equal windows meet under 96 bits of hash: one entry for each chunk.
+
+Documents are dealt once into chunks by hash.  A chunk asks about its anchors
+(and then their occurrences) in packed arrays, one row for each bucket of
+hashes, and gets packed answers back.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +32,8 @@ from .kernels import Rolling, Text, mix, slices, window_starts
 LENGTH, SEED = 20, 8
 #: Bytes of text in a chunk on average, if the number of chunks isn't given.
 CHUNK_BYTES = 32 << 20
+#: Occurrences of an anchor that meet in one task at most.
+HOT = 512
 ANCHORS = LENGTH - SEED + 1
 
 
@@ -40,68 +46,121 @@ def sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     return pick(values[: len(values) - (size - width)], values[size - width :]) if size > width else values
 
 
+def extend(anchor: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of occurrences of anchors, in order of place, the windows that start earlier too.
+
+    ``left`` and ``right`` have the words beside the anchor, nearest first, 0 beyond
+    the document.  Bit k of an answer stands for the window that starts k words
+    before the anchor.  Classes of occurrences that agree are refined word by
+    word on either side; a window's class is its left class with its right one.
+    """
+    steps = left.shape[1]
+    _, words = np.unique(np.concatenate((left, right), 1), return_inverse=True)
+    words = words.reshape(len(anchor), 2 * steps)
+    _, whole = np.unique(anchor, return_inverse=True)
+
+    def classes(words: np.ndarray, there: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = [(whole, np.ones(len(anchor), bool))]
+        for k in range(steps):
+            _, agree = np.unique((out[-1][0] << 32) | words[:, k], return_inverse=True)
+            out.append((agree, out[-1][1] & there[:, k]))
+        return out
+
+    before, after = classes(words[:, :steps], left > 0), classes(words[:, steps:], right > 0)
+    out = np.zeros(len(anchor), np.uint32)
+    for k in range(steps + 1):
+        (a, inside), (b, still) = before[k], after[steps - k]
+        some = np.flatnonzero(inside & still)
+        _, first = np.unique((a[some] << 32) | b[some], return_index=True)
+        again = np.ones(len(some), bool)
+        again[first] = False
+        out[some[again]] |= np.uint32(1 << k)
+    return out
+
+
 class Chunk:
-    """The documents of a chunk in order of doc_id (null first), then text."""
+    """The documents of a chunk in order of doc_id (null first), then hash, then text."""
 
     def __init__(self, docs: pa.Table, length: int, seed: int):
         self.length, self.seed, self.a, self.b = length, seed, Rolling(6), Rolling(60)
-        docs = docs.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        docs = docs.select(["doc_id", "place", "text"]).sort_by([("doc_id", "ascending"), ("place", "ascending"), ("text", "ascending")])
         nulls = docs.column("doc_id").is_null()
         self.docs = pa.concat_tables([docs.filter(nulls), docs.filter(pc.invert(nulls))]).combine_chunks()
         ids = self.docs.column("doc_id").fill_null(np.iinfo(np.int64).min)
         self.ids = ids.to_numpy().astype(np.int64)
 
     def each(self):
-        """By slices: first document, first words, anchors of windows, selected anchor values, hash pairs of windows."""
+        """By slices with windows: first document, first words, hashes of words, windows (first word, row, anchor value), first words of anchors."""
         at = 0
         for whole in self.docs.to_batches():
             for s in slices(whole, "text"):
                 x = Text(s.column("text"))
                 start, end, first = x.words()
-                word = self.a.words(x.bytes, start, end)
                 i, row = window_starts(first, self.length)
                 if len(i):
-                    sums = self.a.sums(word)
-                    n = len(word) - self.seed + 1
-                    grams = self.a.between(sums, np.arange(n), np.arange(n) + self.seed)
-                    least = sliding(grams, self.length - self.seed + 1, np.minimum)
+                    word = self.a.words(x.bytes, start, end)
+                    n, steps = len(word) - self.seed + 1, self.length - self.seed
+                    grams = self.a.between(self.a.sums(word), np.arange(n), np.arange(n) + self.seed)
+                    least = sliding(grams, steps + 1, np.minimum)
                     valid = np.zeros(len(least), bool)
                     valid[i] = True
-                    pad = np.zeros(self.length - self.seed, np.uint64)
-                    top = sliding(np.concatenate((pad, np.where(valid, least, 0), pad)), self.length - self.seed + 1, np.maximum)
-                    chosen = grams[top == grams]  # a gram that is least in some window
-                    other = self.b.sums(mix(word + np.uint64(7)))
-                    yield at, s, first, i, row, least[i], chosen, self.a.between(sums, i, i + self.length), self.b.between(other, i, i + self.length)
-                else:
-                    yield at, s, first, i, row, *[np.zeros(0, np.uint64)] * 4
+                    pad = np.zeros(steps, np.uint64)
+                    top = sliding(np.concatenate((pad, np.where(valid, least, 0), pad)), steps + 1, np.maximum)
+                    p = np.flatnonzero(top == grams)  # a gram that is least in some window
+                    yield at, first, word, (i, row, least[i]), (p, grams[p])
                 at += s.num_rows
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors, and whether each stands here more than once."""
-        found = [np.unique(chosen, return_counts=True) for *_, chosen, _, _ in self.each()]
+        """Distinct anchors, and how often each stands here (65535: at least)."""
+        found = [np.unique(value, return_counts=True) for *_, (_, value) in self.each()]
         values = np.concatenate([v for v, _ in found]) if found else np.zeros(0, np.uint64)
         counts = np.concatenate([c for _, c in found]) if found else np.zeros(0, np.int64)
         distinct, where = np.unique(values, return_inverse=True)
-        return distinct, np.bincount(where, counts, len(distinct)) > 1
-
-    def windows(self, repeated: np.ndarray):
-        """Windows with a repeated anchor, in order of place: document, position, hash pair."""
-        parts = []
-        for at, _, first, i, row, least, _, h, h2 in self.each():
-            k = np.searchsorted(repeated, least)
-            hit = k < len(repeated)
-            hit[hit] = repeated[k[hit]] == least[hit]
-            parts.append((at + row[hit], i[hit] - first[row[hit]], h[hit], h2[hit]))
-        return [np.concatenate(x) if parts else np.zeros(0, np.int64) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
-
-    def first_of_each(self, h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of distinct windows, by hash: the index of the first occurrence; and for each window its distinct one."""
-        order = np.lexsort((np.arange(len(h)), h2, h))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-        which = np.empty(len(h), np.int64)
-        which[order] = np.cumsum(new) - 1
-        return order[new], which
+        return distinct, np.minimum(np.bincount(where, counts, len(distinct)), 65535).astype(np.uint16)
+
+    def occurrences(self, keys: np.ndarray, hot: np.ndarray, words: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Occurrences of the repeated anchors ``keys`` that aren't hot, by anchor (value, row, place, left and right words if asked), and windows of hot ones (hash pair, row, place), by place."""
+        seeds, windows = [], []
+        steps = self.length - self.seed
+        for at, first, word, (i, row, least), (p, value) in self.each():
+            k = _among(keys, value)
+            p, value = (x[(k >= 0) & ~hot[k]] for x in (p, value))
+            where = np.searchsorted(first, p, "right") - 1
+            parts = [value, at + where, p - first[where]]
+            if words:
+                bits = np.concatenate((np.maximum(word >> np.uint64(16), np.uint64(1)), np.zeros(1, np.uint64)))  # 48 bits of a word, and 0 for none
+                before, after = p[:, None] - np.arange(1, steps + 1), p[:, None] + np.arange(self.seed, self.length)
+                parts += [bits[np.where(before >= first[where][:, None], before, len(word))], bits[np.where(after < first[where + 1][:, None], after, len(word))]]
+            seeds.append(parts)
+            k = _among(keys, least)
+            of = np.flatnonzero((k >= 0) & hot[k])
+            if len(of):
+                i, row = i[of], row[of]
+                other = self.b.sums(mix(word + np.uint64(7)))
+                windows.append([self.a.between(self.a.sums(word), i, i + self.length), self.b.between(other, i, i + self.length), at + row, i - first[row]])
+        none = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2, *[np.zeros((0, steps), np.uint64)] * 2][: 5 if words else 3]
+        seeds = [np.concatenate(x) for x in zip(none, *seeds, strict=True)]
+        order = np.argsort(seeds[0], kind="stable")
+        none = [*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 2]
+        return [x[order] for x in seeds], [np.concatenate(x) for x in zip(none, *windows, strict=True)]
+
+
+def _among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The index of each value in the sorted keys, -1 for others."""
+    k = np.searchsorted(keys, values)
+    if not len(keys):
+        return np.full(len(values), -1)
+    return np.where(keys[np.minimum(k, len(keys) - 1)] == values, k, -1)
+
+
+def first_of_each(h: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct windows, by hash: the index of the first occurrence; and for each window its distinct one."""
+    order = np.lexsort((np.arange(len(h)), h2, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
@@ -109,31 +168,35 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _ask(chunk: int, keys: np.ndarray, n: int, packed: list[np.ndarray], names: list[str]) -> pa.Table:
-    """One row for each bucket with keys; every packed array is cut the same way."""
+def _ask(kind: int, chunk: int, keys: np.ndarray, n: int, packed: dict[str, np.ndarray]) -> pa.Table:
+    """One row for each bucket with keys (sorted); every packed array is cut the same way."""
     cuts = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
     some = np.flatnonzero(np.diff(cuts))
-    rows = {"chunk": pa.array(np.full(len(some), chunk, np.int32)), "bucket": pa.array(some.astype(np.int32))}
-    for name, values in zip(names, packed, strict=True):
+    rows = {"kind": pa.array(np.full(len(some), kind, np.int32)), "chunk": pa.array(np.full(len(some), chunk, np.int32)), "bucket": pa.array(some.astype(np.int32))}
+    for name, values in packed.items():
         rows[name] = pa.array([values[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary())
     return pa.table(rows)
 
 
-def _told(replies: pa.Table, size: int, n: int, keys: np.ndarray) -> np.ndarray:
-    """The bits of all buckets, put together for the sorted keys of a chunk."""
-    out = np.zeros(size, bool)
-    cuts = np.searchsorted(bucket_of(keys, n), np.arange(n + 1))
-    for b, bits in zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist(), strict=True):
-        count = cuts[b + 1] - cuts[b]
-        out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=count).astype(bool)
-    return out
+def _answer(asked: pa.Table, keys: list[np.ndarray], told: list[np.ndarray]) -> pa.Table:
+    packed = {"keys": pa.array([x.tobytes() for x in keys], pa.binary()), "told": pa.array([x.tobytes() for x in told], pa.binary())}
+    return pa.table({c: asked.column(c) for c in ("kind", "chunk", "bucket")} | packed)
 
 
-def _answer(asked: pa.Table, bits: list[np.ndarray]) -> pa.Table:
-    return pa.table({"chunk": asked.column("chunk"), "bucket": asked.column("bucket"), "bits": pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())})
+def _told(replies: pa.Table, kind: int) -> tuple[bytes, bytes]:
+    """The packed keys and answers of all buckets, put together in order of hash."""
+    t = replies.filter(pc.equal(replies.column("kind"), kind)).sort_by("bucket")
+    return b"".join(t.column("keys").to_pylist()), b"".join(t.column("told").to_pylist())
 
 
-REPLY = "chunk int, bucket int, bits binary"
+ANCHOR, SEEDS, WINDOWS = 0, 1, 2
+COUNTED = "kind int, chunk int, bucket int, keys binary, counts binary"
+ASKED = "kind int, chunk int, bucket int, keys binary, words binary, ids binary, row binary, place binary"
+REPLY = "kind int, chunk int, bucket int, keys binary, told binary"
+
+
+def _arrays(asked: pa.Table, column: str, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in asked.column(column).to_pylist()]
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, chunks: int | None = None) -> DataFrame:
@@ -145,64 +208,85 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, c
     doc_id, or same document, earlier start).  Returns doc_id, n_words,
     n_removed, kept (the other words joined by one space), and repeats: the
     maximal removed runs as array<struct<start, end>> of word numbers.
+    ``length`` exceeds ``seed`` by at most 31.
 
     ``chunks``: how many parts documents are dealt into, by default the number
     of shuffle partitions, or more so that a part has ``CHUNK_BYTES`` of text; one
-    chunk's text is in a Python worker's memory, whatever the size of the input.
+    chunk's text is in a Python worker's memory, whatever the size of the input
+    and however often a doc_id is repeated.
 
     Null or empty text: no words, nothing removed.  Null doc_id: before all
-    others.  Rows with the same doc_id: by text, so repeated rows lose what the
-    first keeps.  No rows: no rows.  Other columns are ignored.  Long texts are
-    read whole; a text of one repeated word keeps its first window.
+    others.  Rows with the same doc_id: by hash of text, then text, so repeated
+    rows lose what the first keeps.  No rows: no rows.  Other columns are
+    ignored.  Long texts are read whole; a text of one repeated word keeps its
+    first window.
     """
     spark = docs.sparkSession
     n = chunks or max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
     buckets = 4 * n
-    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33)  # 31 bits, and chunks are ranges of them: the order of rows with one doc_id is that of place in any number of chunks
+    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("place", place).withColumn("chunk", F.shiftright(F.col("place") * n, 31).cast("int"))
 
     def ask_anchors(docs: pa.Table) -> pa.Table:
-        chunk = docs.column("chunk")[0].as_py()
-        keys, many = Chunk(docs, length, seed).anchors()
-        return _ask(chunk, keys, buckets, [keys, many], ["keys", "many"])
+        keys, counts = Chunk(docs, length, seed).anchors()
+        return _ask(ANCHOR, docs.column("chunk")[0].as_py(), keys, buckets, {"keys": keys, "counts": counts})
 
     def meet_anchors(asked: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in asked.column("keys").to_pylist()]
-        many = np.concatenate([np.frombuffer(x, bool) for x in asked.column("many").to_pylist()])
-        _, which, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        seen = counts > 1
-        seen[which[many]] = True
-        return _answer(asked, np.split(seen[which], np.cumsum([len(k) for k in keys])[:-1]))
-
-    def ask_windows(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        keys, counts = _arrays(asked, "keys", np.uint64), _arrays(asked, "counts", np.uint16)
+        _, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(which, np.concatenate(counts))[which]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        many = [t > 1 for t in np.split(total, cuts)]
+        return _answer(asked, [k[m] for k, m in zip(keys, many, strict=True)], [t[m] > HOT for t, m in zip(np.split(total, cuts), many, strict=True)])
+
+    def known(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys, hot = _told(replies, ANCHOR)
+        return np.frombuffer(keys, np.uint64), np.append(np.frombuffer(hot, bool), False)
+
+    def ask_occurrences(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _ask(0, np.zeros(0, np.uint64), buckets, [np.zeros(0, np.uint64)] * 4, WINDOW)
-        chunk = Chunk(docs, length, seed)
-        keys, _ = chunk.anchors()
-        row, place, h, h2 = chunk.windows(keys[_told(replies, len(keys), buckets, keys)])
-        first, _ = chunk.first_of_each(h, h2)
-        return _ask(docs.column("chunk")[0].as_py(), h[first], buckets, [h[first], (h2[first] >> np.uint64(32)).astype(np.uint32), chunk.ids[row[first]], place[first].astype(np.int32)], WINDOW)
-
-    def meet_windows(asked: pa.Table) -> pa.Table:
-        h, h2, ids, place = [[np.frombuffer(x, kind) for x in asked.column(c).to_pylist()] for c, kind in zip(WINDOW, (np.uint64, np.uint32, np.int64, np.int32), strict=True)]
-        sizes = [len(x) for x in h]
+            return _ask(SEEDS, 0, np.zeros(0, np.uint64), buckets, dict.fromkeys(ASK, np.zeros(0, np.uint64)))
+        chunk, number = Chunk(docs, length, seed), docs.column("chunk")[0].as_py()
+        (value, row, at, left, right), (h, h2, of, start) = chunk.occurrences(*known(replies), True)
+        words = np.concatenate((left, right), 1).view(np.uint16).reshape(len(value), 2 * (length - seed), 4)[:, :, :3]  # 48 bits each
+        seeds = _ask(SEEDS, number, value, buckets, {"keys": value, "words": words, "ids": chunk.ids[row], "row": row.astype(np.int32), "place": at.astype(np.int32)})
+        f, _ = first_of_each(h, h2)
+        windows = _ask(WINDOWS, number, h[f], buckets, {"keys": h[f], "words": (h2[f] >> np.uint64(32)).astype(np.uint32), "ids": chunk.ids[of[f]], "row": of[f].astype(np.int32), "place": start[f].astype(np.int32)})
+        return pa.concat_tables([seeds, windows])
+
+    def meet_occurrences(asked: pa.Table) -> pa.Table:
+        keys, ids, row, at = [_arrays(asked, c, kind) for c, kind in (("keys", np.uint64), ("ids", np.int64), ("row", np.int32), ("place", np.int32))]
+        sizes = [len(k) for k in keys]
         who = np.repeat(asked.column("chunk").to_numpy(), sizes)
-        h, h2, ids, place = [np.concatenate(x) for x in (h, h2, ids, place)]
-        order = np.lexsort((who, place, ids, h2, h))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-        leads = np.zeros(len(h), bool)
-        leads[order[new]] = True
-        return _answer(asked, np.split(leads, np.cumsum(sizes)[:-1]))
-
-    def cut(docs: pa.Table, anchors: pa.Table, windows: pa.Table) -> pa.Table:
+        h, ids, row, at = [np.concatenate(x) for x in (keys, ids, row, at)]
+        if asked.column("kind")[0].as_py() == SEEDS:
+            order = np.lexsort((at, row, who, ids))
+            words = np.zeros((len(h), 2 * (length - seed), 4), np.uint16)
+            words[:, :, :3] = np.concatenate([x.reshape(-1, 2 * (length - seed), 3) for x in _arrays(asked, "words", np.uint16)])
+            words = words.view(np.uint64)[:, :, 0]
+            told = np.zeros(len(h), np.uint32)
+            told[order] = extend(h[order], words[order, : length - seed], words[order, length - seed :])
+        else:
+            h2 = np.concatenate(_arrays(asked, "words", np.uint32))
+            order = np.lexsort((at, row, who, ids, h2, h))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+            told = np.ones(len(h), bool)
+            told[order[new]] = False
+        return _answer(asked, [k[:0] for k in keys], np.split(told, np.cumsum(sizes)[:-1]))
+
+    def finish(docs: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(docs, length, seed)
-        keys, _ = chunk.anchors()
-        row, place, h, h2 = chunk.windows(keys[_told(anchors, len(keys), buckets, keys)])
-        first, which = chunk.first_of_each(h, h2)
-        leads = _told(windows, len(first), buckets, h[first])
-        goes = np.ones(len(h), bool)
-        goes[first[leads]] = False
-        row, place = row[goes], place[goes]
+        (_, row, at), (h, h2, of, start) = chunk.occurrences(*known(replies), False)
+        bits = np.frombuffer(_told(replies, SEEDS)[1], np.uint32)
+        goes = [(row[hit], at[hit] - k) for k in range(length - seed + 1) if len(hit := np.flatnonzero(bits >> np.uint32(k) & np.uint32(1)))]
+        if len(h):
+            f, which = first_of_each(h, h2)
+            again = np.ones(len(h), bool)  # all but the first here, and that one if it stands earlier elsewhere
+            again[f] = np.frombuffer(_told(replies, WINDOWS)[1], bool)
+            goes.append((of[again], start[again]))
+        key = np.unique(np.concatenate([(r << 32) | p for r, p in goes])) if goes else np.zeros(0, np.int64)
+        row, place = key >> 32, key & 0xFFFFFFFF
         cuts = np.searchsorted(row, np.arange(len(chunk.ids) + 1))
         out = []
         for i, text in enumerate(chunk.docs.column("text").to_pylist()):
@@ -223,18 +307,12 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, c
         kinds = [pa.int64(), pa.int64(), pa.string(), spans]
         return pa.Table.from_arrays([chunk.docs.column("doc_id"), *[pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]], names=["doc_id", "n_words", "n_removed", "kept", "repeats"])
 
-    asked = dealt.groupBy("chunk").applyInArrow(ask_anchors, "chunk int, bucket int, keys binary, many binary")
-    anchors = asked.groupBy("bucket").applyInArrow(meet_anchors, REPLY)
-    asked = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(ask_windows, "chunk int, bucket int, h binary, h2 binary, ids binary, place binary")
-    windows = asked.groupBy("bucket").applyInArrow(meet_windows, REPLY)
-    replies = anchors.withColumn("kind", F.lit(0)).unionByName(windows.withColumn("kind", F.lit(1)))
-
-    def finish(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        of = replies.column("kind")
-        return cut(docs, replies.filter(pc.equal(of, 0)), replies.filter(pc.equal(of, 1)))
-
+    counted = dealt.groupBy("chunk").applyInArrow(ask_anchors, COUNTED)
+    anchors = counted.groupBy("bucket").applyInArrow(meet_anchors, REPLY)
+    asked = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(ask_occurrences, ASKED)
+    extended = asked.groupBy("kind", "bucket").applyInArrow(meet_occurrences, REPLY)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string, repeats array<struct<start:int,end:int>>"
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(finish, schema)
+    return dealt.groupBy("chunk").cogroup(anchors.unionByName(extended).groupBy("chunk")).applyInArrow(finish, schema)
 
 
-WINDOW = ["h", "h2", "ids", "place"]
+ASK = ("keys", "words", "ids", "row", "place")

@@ -657,3 +657,32 @@ def test_toxicity_bounds_and_choice(spark):
     assert 1 not in held and (model.clean, model.toxic) == (sum(i % 3 > 0 for i in set(range(90)) - held) + toxicity.MOST_COPIES - 1, sum(i % 3 == 0 for i in set(range(90)) - held))
     assert len(model.features) > 0  # the choice that learns nothing has the greater loss
     assert not toxicity.fit_toxicity(docs, labels.filter("toxic = 1"), bits=16).usable and not toxicity.fit_toxicity(docs, labels.limit(0), bits=16).usable
+
+
+@pytest.mark.parametrize(("hot", "chunks"), [(0, 3), (4, 5), (10**9, 1), (10**9, 7)])
+def test_substring_extends_seeds_of_any_heat(spark, monkeypatch, hot, chunks):
+    """The same rows whether an anchor's occurrences meet in one place or its windows do, in any number of chunks."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    draw = random.Random(18)
+    parts = [prose(draw, n, 60) for n in (19, 20, 21, 40, 70)]
+    rows = [(i, " ".join(draw.choice([*parts, prose(draw, 9, 60), prose(draw, 3, 3)]) for _ in range(draw.randrange(7))), "s") for i in range(60)]
+    rows += [(70, "a " * 45, "s"), (71, "a " * 60, "s"), (72, "a b " * 30, "s"), (5, parts[3], "s"), (5, f"{parts[3]} x", "s"), (None, parts[4], "s"), (73, None, "s"), (74, " ".join(parts[2].split()[:19]), "s")]
+    got = collections.Counter(tuple(r) for r in substring.remove_repeats(spark.createDataFrame(rows, DOCS), chunks=chunks).select("doc_id", "n_words", "n_removed", "kept").collect())
+    place = {r["text"]: r["p"] for r in spark.createDataFrame(rows, DOCS).filter("doc_id = 5").selectExpr("text", "shiftrightunsigned(xxhash64(doc_id, text), 33) AS p").collect()}
+    seen, want = set(), collections.Counter()
+    for i, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place.get(r[1], 0) if r[0] == 5 else 0)):
+        w, gone = words_of(text), set()
+        for p in range(len(w) - 19):
+            key = tuple(w[p : p + 20])
+            gone |= set(range(p, p + 20)) if key in seen else set()
+            seen.add(key)
+        want[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    assert got == want
+
+
+def test_substring_spreads_a_repeated_id(spark):
+    docs = spark.createDataFrame([(7, f"text {i} " * 5, "s") for i in range(400)], DOCS)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33)
+    per = docs.groupBy(F.shiftright(place * 8, 31).alias("chunk")).count().collect()
+    assert len(per) == 8 and max(r["count"] for r in per) < 100
+    assert substring.remove_repeats(docs, chunks=8).filter("n_removed = 0").count() == 400
