@@ -4,10 +4,10 @@ Documents with equal sets of word shingles are one node.  Nodes that share a
 band of MinHash values are candidates; candidates are compared MinHash value by
 MinHash value and dropped as soon as the posterior probability that their
 similarity reaches the threshold falls below a tolerance.  What is left forms
-candidate groups, and inside a group every pair is verified on the shingle sets
-themselves.  Pairs are counted where they are compared: what leaves a task is a
-row for each node, never a row for each pair, so a group of many near copies
-costs rows in proportion to its members.
+candidate groups; inside a group pairs are pruned in the same way, and those that
+are left are verified on the shingle sets themselves.  Pairs are counted where
+they are compared: what leaves a task is a row for each node, never a row for
+each pair.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, runs
+from .common import Workspace, components, partitions, runs
 from .kernels import Rolling, Text, mix, slices, window_starts
 
 #: Words in a shingle; least similarity; posterior probability below which a pair is dropped.
@@ -35,8 +35,8 @@ BINS, BAND = 160, 4
 FEW = 6
 #: MinHash values compared before the posterior is looked up again.
 STEP = 32
-#: Members compared in one go, as signatures and as sets.
-BLOCK, SET_BLOCK = 512, 256
+#: Members of a block, as signatures and as sets, and shingles of a block on average; two blocks meet in one go.
+BLOCK, SET_BLOCK, SET_SHINGLES = 512, 256, 1 << 20
 
 
 class Shingles:
@@ -189,15 +189,33 @@ def _across(least: np.ndarray):
     return across
 
 
-def _blocks(df: DataFrame, members: Column, size: int) -> DataFrame:
-    """Deal the members of a group into blocks, and each member to every pair of blocks that has its own."""
-    n = F.ceil(members / size).cast("int")
-    dealt = df.withColumn("nb", n).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+def _blocks(df: DataFrame, key: str, n: Column) -> DataFrame:
+    """Deal the members of a group into ``n`` blocks, and each member to every pair of blocks that has its own; rows of a pair meet, sorted, in one task.
+
+    The pairs of a group go to tasks in turn, so a large group fills all of them alike.
+    """
+    tasks = partitions(df.sparkSession)
+    dealt = df.withColumn("nb", F.greatest(n, F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return dealt.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")}).drop("with")
+    dealt = dealt.withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")}).drop("with")
+    lo = F.col("lo").cast("bigint")
+    pair = lo * F.col("nb") - F.floor(lo * (lo - 1) / 2) + F.col("hi") - lo
+    dealt = dealt.withColumn("task", F.pmod(F.pmod(F.xxhash64(key), F.lit(tasks)) + pair, F.lit(tasks)).cast("int"))
+    return dealt.repartitionById(tasks, "task").drop("task").sortWithinPartitions(key, "lo", "hi")
+
 
+def _plausible_pairs(sig: np.ndarray, rows: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which pairs of signatures may reach the threshold, as a matrix; ``rows`` is a matrix of the pairs asked about."""
+    a, b = np.nonzero(np.triu(rows, 1))
+    out = np.zeros(rows.shape, bool)
+    for at in range(0, len(a), 1 << 16):
+        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        keep = plausible(sig[x], sig[y], least)
+        out[x[keep], y[keep]] = True
+    return out | out.T
 
-def _verify(threshold: float):
+
+def _verify(threshold: float, least: np.ndarray):
     """For every member of a pair of blocks its verified links and the least member it is joined to."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,23 +228,17 @@ def _verify(threshold: float):
             rep, block, copies = rep[new], t.column("block").to_numpy(), t.column("copies").to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
             sizes = np.array([len(x) for x in sets])
-            _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            number = np.cumsum(count > 1) - 1  # a shingle of one member is in no intersection
-            member = np.repeat(np.arange(len(sets)), sizes)[count[which] > 1]
-            which = number[which[count[which] > 1]]
-            common = np.zeros((len(sets), len(sets)), np.float32)
-            order = np.argsort(which, kind="stable")
-            member, which = member[order], which[order]
-            for at in range(0, int(which[-1]) + 1 if len(which) else 0, 4096):
-                a, b = np.searchsorted(which, [at, at + 4096])
-                x = np.zeros((len(sets), 4096), np.float32)
-                x[member[a:b], which[a:b] - at] = 1
-                common += x @ x.T
-            union = sizes[:, None] + sizes[None, :] - common
-            linked = common >= threshold * union - 1e-6
-            np.fill_diagonal(linked, False)
+            asked = np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-6
             if t.column("lo")[0].as_py() != t.column("hi")[0].as_py():
-                linked &= block[:, None] != block[None, :]
+                asked &= block[:, None] != block[None, :]
+            asked = _plausible_pairs(signatures(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), len(sets)), asked, least)
+            some = np.flatnonzero(asked.any(1))  # the others have no pair left to verify
+            linked = np.zeros(asked.shape, bool)
+            if len(some):
+                common = _common([sets[i] for i in some])
+                union = sizes[some][:, None] + sizes[some][None, :] - common
+                linked[np.ix_(some, some)] = common >= threshold * union - 1e-6
+                linked &= asked
             links = linked @ copies
             root = _roots(linked)
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links.astype(np.int64)), pa.array(rep[root]), t.column("nb").combine_chunks()], names=["rep", "links", "root", "nb"])
@@ -234,6 +246,23 @@ def _verify(threshold: float):
     return verify
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all these sets."""
+    _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1  # a shingle of one member is in no intersection
+    member = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[count[which] > 1]
+    which = number[which[count[which] > 1]]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(which, kind="stable")
+    member, which = member[order], which[order]
+    for at in range(0, int(which[-1]) + 1 if len(which) else 0, 4096):
+        a, b = np.searchsorted(which, [at, at + 4096])
+        x = np.zeros((len(sets), 4096), np.float32)
+        x[member[a:b], which[a:b] - at] = 1
+        common += x @ x.T
+    return common
+
+
 def join_near(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, class_id, n_links and copy_of of every row of ``docs`` (doc_id, text).
 
@@ -273,15 +302,14 @@ def join_near(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THR
     placed = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "members", F.coalesce("comp", "rep").alias("comp"))
     split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("members").alias("members")).filter("lo < hi and members > 2").select("band")
     left = placed.join(split, "band").join(of.select("rep", "sig"), "rep")
-    left = _blocks(left, F.col("members"), BLOCK).select("band", "lo", "hi", "rep", "block", "comp", "sig")
-    left = left.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    left = _blocks(left, "band", F.ceil(F.col("members") / BLOCK)).select("band", "lo", "hi", "rep", "block", "comp", "sig")
     more = ws.keep(left.mapInArrow(_across(least), "a bigint, b bigint"), "across")
     if more.limit(1).count():
         groups = components(ws, edges.union(more), "across")
 
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("members"))
-    nodes = groups.join(sizes, "comp").join(reps.select(F.col("rep").alias("node"), "copies", "k1", "k2"), "node")
-    nodes = nodes.select(F.col("node").alias("doc_id"), "comp", "members", "copies", "k1", "k2")
+    nodes = groups.join(reps.select(F.col("rep").alias("node"), "n", "copies", "k1", "k2"), "node")
+    sizes = nodes.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") / SET_SHINGLES)).alias("blocks"))
+    nodes = nodes.join(sizes, "comp").select(F.col("node").alias("doc_id"), "comp", "blocks", "copies", "k1", "k2")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(nodes, "doc_id")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,11 +321,11 @@ def join_near(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THR
                 own = (k1 == s.column("k1").to_numpy()) & (k2 == s.column("k2").to_numpy())
                 at = np.searchsorted(row, np.arange(s.num_rows + 1))
                 sets = pa.array([h[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[s.column(c) for c in ("doc_id", "comp", "members", "copies", "k1")], sets], names=["rep", "comp", "members", "copies", "k1", "shingles"]).filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([*[s.column(c) for c in ("doc_id", "comp", "blocks", "copies", "k1")], sets], names=["rep", "comp", "blocks", "copies", "k1", "shingles"]).filter(pa.array(own))
 
-    sets = texts.mapInArrow(shingles, "rep bigint, comp bigint, members bigint, copies bigint, k1 bigint, shingles binary")
-    dealt = _blocks(sets, F.col("members"), SET_BLOCK).repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
-    verified = ws.keep(dealt.mapInArrow(_verify(threshold), "rep bigint, links bigint, root bigint, nb int"), "verified")
+    sets = texts.mapInArrow(shingles, "rep bigint, comp bigint, blocks bigint, copies bigint, k1 bigint, shingles binary")
+    dealt = _blocks(sets, "comp", F.col("blocks"))
+    verified = ws.keep(dealt.mapInArrow(_verify(threshold, least), "rep bigint, links bigint, root bigint, nb int"), "verified")
     whole = verified.filter("nb = 1").select("rep", F.col("root").alias("class_id"))
     parts = verified.filter("nb > 1 and rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
     if parts.limit(1).count():
@@ -314,13 +342,13 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each class: the one with the least doc_id (of equal ids, the least text with words).
 
     All texts without words (null, empty, blank) are one class here.  Rows with a
-    null doc_id stay.
+    null doc_id stay, and all columns, whatever their names.
     """
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    written, empty = docs.filter(~blank | F.col("doc_id").isNull()), docs.filter(blank)
-    classes = join_near(written, **how).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = written.join(classes, docs["doc_id"].cast("bigint") == classes["_kept"], "left_semi")
-    first = empty.agg(F.min("doc_id").alias("_kept"))  # one row
-    kept = kept.unionByName(empty.join(F.broadcast(first), F.col("doc_id") == F.col("_kept"), "left_semi"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy(blank, "text"))
-    return kept.withColumn("_number", number).filter("_number = 1").drop("_number").unionByName(docs.filter("doc_id is null"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "text", blank.alias("blank"))
+    classes = join_near(docs.filter(~blank | F.col("doc_id").isNull()), **how).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept")).distinct()
+    first = rows.filter("blank").agg(F.min("id").alias("kept"))  # one row
+    kept = rows.filter("not blank").join(classes, F.col("id").cast("bigint") == F.col("kept"), "left_semi")
+    kept = kept.unionByName(rows.filter("blank").join(F.broadcast(first), F.col("id") == F.col("kept"), "left_semi"))
+    kept = kept.withColumn("number", F.row_number().over(Window.partitionBy("id").orderBy("blank", "text"))).filter("number = 1")
+    return kept.select("row.*").unionByName(rows.filter("id is null").select("row.*"))

@@ -686,3 +686,23 @@ def test_substring_spreads_a_repeated_id(spark):
     per = docs.groupBy(F.shiftright(place * 8, 31).alias("chunk")).count().collect()
     assert len(per) == 8 and max(r["count"] for r in per) < 100
     assert substring.remove_repeats(docs, chunks=8).filter("n_removed = 0").count() == 400
+
+
+def test_near_copies_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c", "s"), (2, "a b c", "s"), (2, "", "s"), (None, "a b c", "s"), (5, None, "s")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("own") for c in ("_kept", "_number", "kept", "number", "row", "id", "blank", "task", "nb", "comp")})
+    got = ngramjoin.keep_one_of_each(docs)
+    assert got.columns == docs.columns and rows_of(got.select("doc_id", "text", "row")) == sorted([(1, "a b c", "own"), (2, "", "own"), (None, "a b c", "own")], key=str)
+
+
+def test_blocks_follow_members_and_shingles(spark, corpus, monkeypatch):
+    """Large groups are split by the bytes of their sets too, and their pairs of blocks fill the tasks evenly."""
+    docs = spark.createDataFrame(corpus, DOCS)
+    want = rows_of(ngramjoin.join_near(docs))
+    monkeypatch.setattr(ngramjoin, "SET_SHINGLES", 500)
+    assert rows_of(ngramjoin.join_near(docs)) == want
+    members = spark.range(4000).select(F.lit(5).cast("bigint").alias("comp"), F.col("id").alias("rep"))
+    blocks = ngramjoin._blocks(members, "comp", F.lit(16))
+    per = blocks.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(per) == 4 and max(r["count"] for r in per) < 1.3 * min(r["count"] for r in per)
+    assert blocks.select("lo", "hi", "rep").distinct().count() == blocks.count() == 16 * 4000 and blocks.select("lo", "hi").distinct().count() == 16 * 17 // 2
