@@ -8,9 +8,11 @@ run it in Arrow-batched pandas UDFs.  Plain member paths are better served by
 from __future__ import annotations
 
 import json
+import math
 import operator
 import re
 from collections.abc import Callable, Iterator
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 import pandas as pd
@@ -24,8 +26,17 @@ COMPARE = {"==": operator.eq, "!=": operator.ne, "<>": operator.ne, "<": operato
 Eval = Callable[[list, Any, Any, dict], list]
 
 
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def parse(text: str) -> Any:
+    """A document; numbers keep their digits, NaN and Infinity are refused."""
+    return json.loads(text, parse_float=Decimal, parse_constant=_refuse)
+
+
 def _kind(x: Any) -> str:
-    return "null" if x is None else "boolean" if isinstance(x, bool) else "number" if isinstance(x, (int, float)) else "string" if isinstance(x, str) else "array" if isinstance(x, list) else "object"
+    return "null" if x is None else "boolean" if isinstance(x, bool) else "number" if isinstance(x, (int, float, Decimal)) else "string" if isinstance(x, str) else "array" if isinstance(x, list) else "object"
 
 
 def _unwrapped(items: list) -> Iterator[Any]:
@@ -34,10 +45,13 @@ def _unwrapped(items: list) -> Iterator[Any]:
 
 
 class Path:
-    """A compiled path: ``$.a[*] ? (@.b > $min && exists(@.c)).d.size()`` and so on."""
+    """A compiled path: ``$.a[*] ? (@.b > $min && exists(@.c)).d.size()`` and so on.
+
+    The words lax and strict may stand in front; evaluation is lax after both.
+    """
 
     def __init__(self, text: str):
-        self.tokens, at, text = [], 0, text.strip().removeprefix("lax ").strip()
+        self.tokens, at, text = [], 0, re.sub(r"^(?:lax|strict)(?=[\s$@(])", "", text.strip()).strip()
         while at < len(text):
             m = TOKENS.match(text, at)
             if not m:
@@ -142,7 +156,7 @@ class Path:
         kind, text = self.tokens[self.at]
         self.at += 1
         if kind in ("num", "str") or text in ("true", "false", "null"):
-            value = json.loads(text)
+            value = parse(text)
             return lambda r, c, v: [value]
         raise ValueError(f"bad JSON path near {text!r}")
 
@@ -185,28 +199,40 @@ class Path:
             return lambda r, c, v: list(_unwrapped(run(r, c, v)))
         picks = []
         while True:
-            negative = bool(self._take("-"))
-            number = int(self.tokens[self.at][1]) if self.tokens[self.at][0] == "num" else -1
-            self.at += 1
-            end = None
-            if self._take("to"):
-                end = int(self.tokens[self.at][1]) if self.tokens[self.at][0] == "num" else -1
-                self.at += 1
-            picks.append((-number if negative else number, end))
+            first = self._place()
+            picks.append((first, self._place() if self._take("to") else None))
             if not self._take(","):
                 break
         self._need("]")
 
         def pick(x: Any) -> Iterator[Any]:
             items = x if isinstance(x, list) else [x]
-            for a, b in picks:
-                a = a + len(items) if a < 0 else a
-                b = a if b is None else b + len(items) if b < 0 else b
+            for first, end in picks:
+                a = first(len(items))
+                b = a if end is None else end(len(items))
                 yield from items[a : b + 1] if a >= 0 else []
 
         return lambda r, c, v: [y for x in run(r, c, v) for y in pick(x)]
 
 
+    def _place(self) -> Callable[[int], int]:
+        """A subscript as a function of the array's length: a number, from the end if negative, or last with an offset."""
+        if self._take("last"):
+            sign = self._take("+", "-")
+            offset = self._integer() * (-1 if sign == "-" else 1) if sign else 0
+            return lambda n: n - 1 + offset
+        negative = bool(self._take("-"))
+        number = self._integer()
+        return lambda n: n - number if negative else number
+
+    def _integer(self) -> int:
+        kind, text = self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+        if kind != "num" or not text.isdigit():
+            raise ValueError(f"bad JSON path subscript near {text!r}")
+        self.at += 1
+        return int(text)
+
+
 def _then(run, f):
     return lambda r, c, v: [y for x in run(r, c, v) for y in f(x)]
 
@@ -243,8 +269,13 @@ def _compare(op: str, left: list, right: list) -> bool | None:
     return None if unknown else False
 
 
+def _whole(x: Any) -> Any:
+    return int(x) if isinstance(x, Decimal) and x.is_finite() and x == x.to_integral_value() else x
+
+
 def _arithmetic(op: str, left, right):
-    f = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "%": operator.mod}[op]
+    """Whole results are integers; a remainder has the sign of the dividend."""
+    f = {"+": operator.add, "-": operator.sub, "*": operator.mul, "/": lambda a, b: _whole(Decimal(a) / Decimal(b)), "%": lambda a, b: _whole(Decimal(a) % Decimal(b))}[op]
 
     def run(r, c, v):
         a, b = left(r, c, v), right(r, c, v)
@@ -255,9 +286,10 @@ def _arithmetic(op: str, left, right):
 
 def _number(x: Any) -> list:
     try:
-        return [float(x)]
-    except (TypeError, ValueError):
+        number = Decimal(x) if isinstance(x, str) or _kind(x) == "number" else None
+    except InvalidOperation:
         return []
+    return [number] if number is not None and number.is_finite() else []
 
 
 METHODS: dict[str, Callable[[Any], list]] = {
@@ -265,8 +297,8 @@ METHODS: dict[str, Callable[[Any], list]] = {
     "type": lambda x: [_kind(x)],
     "double": lambda x: [y for i in (x if isinstance(x, list) else [x]) for y in _number(i)],
     "abs": lambda x: [abs(i) for i in (x if isinstance(x, list) else [x]) if _kind(i) == "number"],
-    "floor": lambda x: [int(i // 1) for i in (x if isinstance(x, list) else [x]) if _kind(i) == "number"],
-    "ceiling": lambda x: [int(-(-i // 1)) for i in (x if isinstance(x, list) else [x]) if _kind(i) == "number"],
+    "floor": lambda x: [math.floor(i) for i in (x if isinstance(x, list) else [x]) if _kind(i) == "number"],
+    "ceiling": lambda x: [math.ceil(i) for i in (x if isinstance(x, list) else [x]) if _kind(i) == "number"],
     "datetime": lambda x: [i for i in (x if isinstance(x, list) else [x]) if isinstance(i, str)],
     "keyvalue": lambda x: [{"key": k, "value": y} for i in (x if isinstance(x, list) else [x]) if isinstance(i, dict) for k, y in i.items()],
 }
@@ -339,10 +371,24 @@ def merge(a: Any, b: Any) -> Any:
     return (a if isinstance(a, list) else [a]) + (b if isinstance(b, list) else [b])
 
 
-def dump(x: Any, pretty: bool = False) -> str:
-    """Keys by length, then text; numbers as they were read."""
-    order = lambda y: {k: order(y[k]) for k in sorted(y, key=lambda k: (len(k), k))} if isinstance(y, dict) else [order(v) for v in y] if isinstance(y, list) else y
-    return json.dumps(order(x), ensure_ascii=False, indent=4 if pretty else None, separators=None if pretty else (", ", ": "))
+def _text(x: Any) -> str:
+    if isinstance(x, Decimal):
+        return format(x, "f") if abs(x.adjusted()) <= 400 else str(x).lower()
+    return json.dumps(x, ensure_ascii=False)
+
+
+def dump(x: Any, pretty: bool = False, indent: str = "") -> str:
+    """Keys by length, then text; numbers with all their digits."""
+    deeper = indent + "    " if pretty else ""
+    if isinstance(x, dict):
+        parts, ends = [f"{json.dumps(k, ensure_ascii=False)}: {dump(x[k], pretty, deeper)}" for k in sorted(x, key=lambda k: (len(k), k))], "{}"
+    elif isinstance(x, list):
+        parts, ends = [dump(y, pretty, deeper) for y in x], "[]"
+    else:
+        return _text(x)
+    if not pretty or not parts:
+        return ends[0] + ", ".join(parts) + ends[1]
+    return f"{ends[0]}\n{deeper}" + f",\n{deeper}".join(parts) + f"\n{indent}{ends[1]}"
 
 
 def _udf(f: Callable[..., Any], kind: str):
@@ -354,7 +400,7 @@ def _udf(f: Callable[..., Any], kind: str):
                 out.append(None)
                 continue
             try:
-                documents = [json.loads(x) for x in row]
+                documents = [parse(x) for x in row]
             except ValueError:
                 out.append(None)
                 continue
@@ -396,6 +442,15 @@ def json_set(doc: Column, path: list[str], value: Any, create: bool = True) -> C
     return _udf(lambda d: dump(set_path(d, path, value, create)), "string")(doc)
 
 
+def json_set_lax(doc: Column, path: list[str], value: Any, create: bool = True, null: str = "use_json_null") -> Column:
+    """jsonb_set_lax: what a null ``value`` does is use_json_null, delete_key, return_target or raise_exception."""
+    if value is None and null == "raise_exception":
+        raise ValueError("jsonb_set_lax: the new value is null")
+    if value is None and null in ("delete_key", "return_target"):
+        return json_delete(doc, path if null == "delete_key" else [])
+    return json_set(doc, path, value, create)
+
+
 def json_insert(doc: Column, path: list[str], value: Any, after: bool = False) -> Column:
     return _udf(lambda d: dump(set_path(d, path, value, True, True, after)), "string")(doc)
 
@@ -413,7 +468,30 @@ def json_pretty(doc: Column) -> Column:
 
 
 def json_typeof(doc: Column) -> Column:
-    return _udf(_kind, "string")(doc)
+    """The type of a document, from its schema as a variant: no Python."""
+    kind = F.regexp_extract(F.schema_of_variant(F.try_parse_json(doc)), "^[A-Z]+", 0)
+    names = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+    out = F.when(kind.isNotNull(), F.lit("number"))
+    for variant, name in names.items():
+        out = F.when(kind == variant, F.lit(name)).otherwise(out)
+    return out
+
+
+def is_json(doc: Column, kind: str = "value") -> Column:
+    """IS JSON VALUE, OBJECT, ARRAY or SCALAR; null for null."""
+    found = json_typeof(doc)
+    tests = {"value": found.isNotNull(), "object": found == "object", "array": found == "array", "scalar": ~found.isin("object", "array")}
+    return F.when(doc.isNotNull(), F.coalesce(tests[kind], F.lit(False)))
+
+
+def has_any_key(doc: Column, *keys: str) -> Column:
+    """doc ?| keys: a member of an object, or a string in an array, is one of them."""
+    return _udf(lambda d: any(k in d for k in keys) if isinstance(d, (dict, list)) else d in keys if isinstance(d, str) else False, "boolean")(doc)
+
+
+def has_all_keys(doc: Column, *keys: str) -> Column:
+    """doc ?& keys."""
+    return _udf(lambda d: all(k in d for k in keys) if isinstance(d, (dict, list)) else len(set(keys)) == 1 and d == keys[0], "boolean")(doc)
 
 
 def json_get(doc: Column, *path: str | int) -> Column:

@@ -59,10 +59,6 @@ def format_text(pattern: str, *args: Column) -> Column:
     return F.concat(*parts)
 
 
-def log_base10(x: Column) -> Column:
-    return F.log10(x)
-
-
 def array_position(a: Column, x: Column) -> Column:
     """Null if absent."""
     return F.nullif(F.array_position(a, x), F.lit(0).cast("bigint"))

@@ -12,16 +12,23 @@ def trunc(field: str, ts: Column) -> Column:
 
 
 def part(field: str, ts: Column) -> Column:
-    """EXTRACT with Sunday 0 for dow, 7 for isodow, and decade and century by year."""
-    year = F.year(ts)
+    """EXTRACT with Sunday 0 for dow, 7 for isodow, and decade and century by year.
+
+    second, milliseconds and microseconds are those of the minute, with their
+    fractions (numeric); the other fields are whole.
+    """
+    year, second = F.year(ts), F.date_part(F.lit("second"), ts).cast("decimal(8,6)")
     made = {
         "dow": F.dayofweek(ts) - 1,
         "isodow": F.weekday(ts) + 1,
         "decade": F.floor(year / 10),
         "century": F.floor((year + 99) / 100),
-        "milliseconds": F.second(ts) * 1000 + F.floor(F.expr("0") + F.date_format(ts, "SSS").cast("int")),
+        "second": second,
+        "milliseconds": (second * 1000).cast("decimal(8,3)"),
+        "microseconds": second * 1000000,
     }
-    return (made[field] if field in made else F.date_part(F.lit(field), ts)).cast("bigint")
+    out = made[field] if field in made else F.date_part(F.lit(field), ts)
+    return out if field in ("second", "milliseconds") else out.cast("bigint")
 
 
 def age(end: Column, start: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import count
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,32 +21,49 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 def compare_all(df: DataFrame, value: str, op: str, values: DataFrame) -> DataFrame:
     """``df`` with column verdict: value op ALL (values), with the null rules of SQL.
 
-    ``op`` is one of < <= > >=; only the least or greatest of ``values``, whether
-    one is null and whether any is there matter, so the set shrinks to one row.
+    For < <= > >= only the least or greatest of ``values``, whether one is null
+    and whether any is there matter; for = and <> also both ends, or whether
+    the value is among them.  So the set shrinks to one row, but for <>, which joins.
     """
+    if op == "<>":
+        return _member(df, value, values, found=False)
     return _compare(df, value, op, values, every=True)
 
 
 def compare_any(df: DataFrame, value: str, op: str, values: DataFrame) -> DataFrame:
-    """``df`` with column verdict: value op ANY (values), with the null rules of SQL."""
+    """``df`` with column verdict: value op ANY (values), with the null rules of SQL; = joins, the others see one row."""
+    if op == "=":
+        return _member(df, value, values, found=True)
     return _compare(df, value, op, values, every=False)
 
 
+def _summary(values: DataFrame) -> DataFrame:
+    v = F.col(f"`{values.columns[0]}`")
+    return values.agg(F.struct(F.count("*").alias("n"), F.count(v).alias("known"), F.min(v).alias("least"), F.max(v).alias("most")).alias("_set"))
+
+
+def _verdict(df: DataFrame, decided: Column, every: bool) -> DataFrame:
+    """The verdict from that on the known values; the first that settles it wins, then nulls make it unknown."""
+    s = F.col("_set")
+    decided = F.when(s["known"] > 0, decided)
+    settled = F.when(decided == F.lit(not every), F.lit(not every))
+    verdict = F.when(s["n"] == 0, F.lit(every)).otherwise(F.coalesce(settled, F.when(s["known"] == s["n"], decided)))
+    return df.withColumn("verdict", verdict).drop("_set")
+
+
 def _compare(df: DataFrame, value: str, op: str, values: DataFrame, every: bool) -> DataFrame:
-    v = values.columns[0]
-    least = (op in ("<", "<=")) == every
-    n, known, edge = values.agg(F.count("*"), F.count(v), F.min(v) if least else F.max(v)).first()
-    x, e = F.col(value), F.lit(edge)
-    test = {"<": x < e, "<=": x <= e, ">": x > e, ">=": x >= e}[op]
-    if not n:
-        return df.withColumn("verdict", F.lit(every))
-    unknown = F.lit(None).cast("boolean")
-    decided = test if known else unknown
-    if every:
-        verdict = F.when(decided == F.lit(False), F.lit(False)).otherwise(unknown if known < n else decided)
-    else:
-        verdict = F.when(decided == F.lit(True), F.lit(True)).otherwise(unknown if known < n else decided)
-    return df.withColumn("verdict", verdict)
+    s, x = F.col("_set"), F.col(value)
+    edge = s["least"] if (op in ("<", "<=")) == every else s["most"]
+    tests = {"<": x < edge, "<=": x <= edge, ">": x > edge, ">=": x >= edge, "=": (x == s["least"]) & (x == s["most"]), "<>": (x != s["least"]) | (x != s["most"])}
+    return _verdict(df.crossJoin(F.broadcast(_summary(values))), tests[op], every)  # one row
+
+
+def _member(df: DataFrame, value: str, values: DataFrame, found: bool) -> DataFrame:
+    """= ANY (found) and <> ALL: one join with the distinct values."""
+    known = values.select(F.col(f"`{values.columns[0]}`").alias("_value")).dropna().distinct()
+    joined = df.join(known, F.col(value) == F.col("_value"), "left").crossJoin(F.broadcast(_summary(values)))
+    decided = F.when(F.col(value).isNotNull(), F.col("_value").isNotNull() == F.lit(found))
+    return _verdict(joined.withColumn("_decided", decided), F.col("_decided"), not found).drop("_value", "_decided")
 
 
 def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
@@ -86,14 +104,32 @@ def insert_rows(target: DataFrame, rows: DataFrame, defaults: dict[str, Column]
     return target.unionByName(filled.select(*target.columns))
 
 
+def _first_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, the least by its other columns; rows with a null in their key are apart from all."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    others = [F.col(f"`{c}`") for c in rows.columns if c not in keys]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*others or [F.lit(0)]))
+    return rows.withColumn("_number", F.when(whole, number).otherwise(1)).filter("_number = 1").drop("_number")
+
+
 def insert_missing(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """ON CONFLICT DO NOTHING: rows whose key is new, one of each key."""
-    return target.unionByName(rows.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti").select(*target.columns))
+    """ON CONFLICT DO NOTHING: rows whose key is new, one of each key (the least by its other columns); a key with a null never conflicts."""
+    return target.unionByName(_first_of_each(rows, keys).join(target.select(*keys), keys, "left_anti").select(*target.columns))
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: dict[str, Callable[[Column, Column], Column]], where: Callable[[DataFrame, DataFrame], Column] | None = None) -> DataFrame:
-    """ON CONFLICT (keys) DO UPDATE: one full join; ``update`` gets the old value and the excluded one."""
-    old, new = target.alias("old"), rows.withColumn("_new", F.lit(True)).alias("new")
+    """ON CONFLICT (keys) DO UPDATE: one full join; ``update`` gets the old value and the excluded one.
+
+    Two of ``rows`` with one key are an error, as a row can't be changed twice; a
+    key with a null never conflicts.
+    """
+    again = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) > 1
+    for k in keys:
+        again = again & F.col(k).isNotNull()
+    flag = F.when(again, F.raise_error(F.lit("ON CONFLICT DO UPDATE can't affect a row a second time")).cast("boolean")).otherwise(F.lit(True))
+    old, new = target.alias("old"), rows.withColumn("_new", flag).alias("new")
     joined = old.withColumn("_old", F.lit(True)).alias("old").join(new, keys, "full")
     out = []
     for c in target.columns:
@@ -105,18 +141,46 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: dict[str
         both = F.col("_old") & F.col("_new")
         if where:
             both = both & F.coalesce(where(old, new), F.lit(False))
-        out.append(F.when(F.col("_old").isNull(), excluded).when(both, changed).otherwise(was).alias(c))
+        out.append(F.when(F.col("_old").isNull() & F.col("_new"), excluded).when(both, changed).otherwise(was).alias(c))
     return joined.select(*out)
 
 
+class Change(NamedTuple):
+    """A statement's outcome: the table after it, and what RETURNING tells of the rows it touched."""
+
+    table: DataFrame
+    returning: DataFrame
+
+
+def insert_returning(target: DataFrame, rows: DataFrame, returning: list[Column], defaults: dict[str, Column] | None = None) -> Change:
+    """INSERT ... RETURNING: expressions over the new rows, defaults filled in."""
+    return Change(insert_rows(target, rows, defaults), insert_rows(target.limit(0), rows, defaults).select(*returning))
+
+
+def update_returning(target: DataFrame, values: dict[str, Column], where: Column, returning: list[Column]) -> Change:
+    """UPDATE ... RETURNING: expressions over the new values of the rows that changed."""
+    hit = target.filter(F.coalesce(where, F.lit(False)))
+    return Change(update_rows(target, values, where), update_rows(hit, values, F.lit(True)).select(*returning))
+
+
+def delete_returning(target: DataFrame, where: Column, returning: list[Column]) -> Change:
+    """DELETE ... RETURNING: expressions over the rows that went."""
+    return Change(delete_rows(target, where), target.filter(F.coalesce(where, F.lit(False))).select(*returning))
+
+
+def delete_using_returning(target: DataFrame, source: DataFrame, keys: list[str], returning: list[Column]) -> Change:
+    """DELETE ... USING ... RETURNING, each row once."""
+    return Change(delete_using(target, source, keys), target.join(source.select(*keys), keys, "left_semi").select(*returning))
+
+
 def update_rows(target: DataFrame, values: dict[str, Column], where: Column) -> DataFrame:
     hit = F.coalesce(where, F.lit(False))
     return target.select(*[F.when(hit, values[c].cast(target.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in target.columns])
 
 
 def update_from(target: DataFrame, source: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
-    """UPDATE ... FROM: rows that meet a source row (unique by key, columns not in target) take the values."""
-    joined = target.join(source.withColumn("_hit", F.lit(True)), keys, "left")
+    """UPDATE ... FROM: rows that meet a source row (columns not in target) take the values; of several source rows the least by its columns."""
+    joined = target.join(_first_of_each(source, keys).withColumn("_hit", F.lit(True)), keys, "left")
     hit = F.col("_hit").isNotNull()
     return joined.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in target.columns])
 

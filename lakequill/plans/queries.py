@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from lakequill.functions import jsonpath as J
 from lakequill.functions import scalars as S
+from lakequill.functions import sqljson as Q
 from lakequill.functions import temporal as T
 from lakequill.operators import aggregates as A
 from lakequill.operators import relational as R
 from lakequill.operators.ordering import asc, desc
-from lakequill.operators.windows import over_groups
+from lakequill.operators.windows import global_ranks, over_groups
 from lakequill.sources import copy as C
 from lakequill.sources.tables import catalog_columns, sql, table
 
@@ -145,9 +146,35 @@ def f15_any_subquery(spark, sf_dir):
     return R.compare_any(table(spark, sf_dir, "part"), "p_size", "<", sql(spark, sf_dir, "SELECT nullif(n_nationkey, 24) AS v FROM nation")).select("p_partkey", "verdict")
 
 
+@plan("SELECT n_nationkey, n_regionkey <> ALL (SELECT nullif(r_regionkey, 2) FROM region WHERE r_regionkey > 1) AS no, n_regionkey = ALL (SELECT r_regionkey FROM region WHERE r_regionkey = 3) AS yes, n_regionkey <> ALL (SELECT r_regionkey FROM region WHERE r_regionkey > 90) AS none FROM nation")
+def f15_equal_all(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    for name, op, values in (("no", "<>", "SELECT nullif(r_regionkey, 2) AS v FROM region WHERE r_regionkey > 1"), ("yes", "=", "SELECT r_regionkey FROM region WHERE r_regionkey = 3"), ("none", "<>", "SELECT r_regionkey FROM region WHERE r_regionkey > 90")):
+        n = R.compare_all(n, "n_regionkey", op, sql(spark, sf_dir, values)).withColumnRenamed("verdict", name)
+    return n.select("n_nationkey", "no", "yes", "none")
+
+
+@plan("SELECT o_orderkey, o_custkey = ANY (SELECT nullif(c_custkey, 7) FROM customer WHERE c_mktsegment = 'BUILDING') AS eq, o_custkey <> ANY (SELECT c_custkey FROM customer WHERE c_custkey = 5) AS ne, o_custkey = ANY (SELECT c_custkey FROM customer WHERE c_custkey < 0) AS none FROM orders")
+def f15_equal_any(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    for name, op, values in (("eq", "=", "SELECT nullif(c_custkey, 7) AS v FROM customer WHERE c_mktsegment = 'BUILDING'"), ("ne", "<>", "SELECT c_custkey FROM customer WHERE c_custkey = 5"), ("none", "=", "SELECT c_custkey FROM customer WHERE c_custkey < 0")):
+        o = R.compare_any(o, "o_custkey", op, sql(spark, sf_dir, values)).withColumnRenamed("verdict", name)
+    return o.select("o_orderkey", "eq", "ne", "none")
+
+
 both("f16_case", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' END AS a, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS b FROM orders")
 edge("f17_coalesce_nullif", "SELECT id, coalesce(label, 'none') AS c, nullif(group_id, 1) AS n FROM EDGE")
 edge("f18_is_json", "SELECT id, try_parse_json(payload) IS NOT NULL AS j, try_parse_json(label) IS NOT NULL AS k FROM EDGE", "SELECT id, coalesce(json_valid(payload), FALSE) AS j, coalesce(json_valid(label), FALSE) AS k FROM EDGE")
+_forms = "CASE o_orderkey % 5 WHEN 0 THEN concat('{\"k\": ', o_custkey, '}') WHEN 1 THEN concat('[', o_custkey, ']') WHEN 2 THEN CAST(o_custkey AS {0}) WHEN 3 THEN concat('{{', o_custkey) END"
+
+
+@plan("SELECT o_orderkey, " + ", ".join(f"CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE o_orderkey % 5 IN ({x}) END AS {k}" for k, x in (("v", "0, 1, 2"), ("o", "0"), ("a", "1"), ("s", "2"))) + " FROM orders")
+def f18_json_kinds(spark, sf_dir):
+    """IS JSON VALUE, OBJECT, ARRAY and SCALAR of objects, arrays, numbers, broken text and nulls."""
+    docs = table(spark, sf_dir, "orders").withColumn("doc", F.expr(_forms.replace("{0}", "STRING").replace("{{", "{")))
+    return docs.select("o_orderkey", *[J.is_json(F.col("doc"), kind).alias(kind[0]) for kind in ("value", "object", "array", "scalar")])
+
+
 both("f19_subscripts", "SELECT vec_id, try_element_at(split(CAST(label AS STRING), ''), 1) AS first, embedding[0] AS x, try_element_at(embedding, 100000) AS none FROM embeddings", "SELECT vec_id, CAST(label AS VARCHAR)[1] AS first, embedding[1] AS x, embedding[100000] AS none FROM embeddings")
 both("f20_row", "SELECT r.r_name AS name FROM (SELECT struct(region.*) AS r FROM region)", "SELECT r.r_name AS name FROM (SELECT region AS r FROM region)")
 both("f21_casts", "SELECT CAST('12' AS INT) AS a, CAST(3.7 AS STRING) AS b, CAST('2024-02-29' AS DATE) AS c, TRY_CAST('x' AS INT) AS d, CAST(5 AS DOUBLE) AS e", "SELECT CAST('12' AS INT) AS a, CAST(3.7 AS VARCHAR) AS b, CAST('2024-02-29' AS DATE) AS c, TRY_CAST('x' AS INT) AS d, CAST(5 AS DOUBLE) AS e")
@@ -239,7 +266,15 @@ both("a22_fast_paths", "SELECT CAST(count(*) FILTER (WHERE l_quantity > 25) AS B
 
 # W: windows.
 W = "OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey)"
-both("w01_ranking", f"SELECT o_orderkey, CAST(row_number() {W} AS BIGINT) AS rn, CAST(rank() OVER (ORDER BY o_orderpriority) AS BIGINT) AS r, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS BIGINT) AS d FROM orders")
+
+
+@plan(f"SELECT o_orderkey, CAST(row_number() {W} AS BIGINT) AS rn, CAST(rank() OVER (ORDER BY o_orderpriority) AS BIGINT) AS r, CAST(dense_rank() OVER (ORDER BY o_orderpriority) AS BIGINT) AS d FROM orders")
+def w01_ranking(spark, sf_dir):
+    """A window without partitions would put all rows into one task; ranks of the distinct keys take none."""
+    numbered = sql(spark, sf_dir, f"SELECT o_orderkey, o_orderpriority, CAST(row_number() {W} AS BIGINT) AS rn FROM orders")
+    return global_ranks(numbered, {"o_orderpriority": asc}, "r", "d").drop("o_orderpriority")
+
+
 both("w04_distribution", f"SELECT o_orderkey, round(percent_rank() {W}, 6) AS p, round(cume_dist() {W}, 6) AS c, CAST(ntile(3) {W} AS BIGINT) AS t FROM orders")
 both("w07_lag_lead", f"SELECT o_orderkey, lag(o_orderkey) {W} AS a, lead(o_orderkey, 2, CAST(-1 AS BIGINT)) {W} AS b FROM orders")
 both("w08_first_last_nth", f"SELECT o_orderkey, first_value(o_orderkey) {W} AS f, last_value(o_orderkey) {W} AS l, nth_value(o_orderkey, 2) {W} AS n FROM orders")
@@ -253,7 +288,11 @@ def w14_groups_frame(spark, sf_dir):
     return over_groups(table(spark, sf_dir, "events"), ["event_type"], [asc("user_id")], -1, 0, n=F.count("*")).select("event_id", "n")
 
 
-both("w15_range_frame", "SELECT p_partkey, CAST(count(*) OVER (ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM part")
+both(  # rows are counted for each size first, so the window sees one row a size
+    "w15_range_frame",
+    "WITH s AS (SELECT p_size AS k, count(*) AS c FROM part GROUP BY p_size), t AS (SELECT k, sum(c) OVER (ORDER BY k RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS n FROM s) SELECT p_partkey, CAST(n AS BIGINT) AS n FROM part JOIN t ON p_size <=> k",
+    "SELECT p_partkey, CAST(count(*) OVER (ORDER BY p_size RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM part",
+)
 both("w17_many_specs", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS a, CAST(count(*) OVER w AS BIGINT) AS b FROM orders WINDOW w AS (PARTITION BY o_orderstatus)")
 both("w20_window_over_aggregate", "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM orders GROUP BY o_orderstatus")
 
@@ -343,7 +382,17 @@ _fields = ["year", "month", "day", "quarter", "hour", "minute", "second", "doy",
 
 @plan("SELECT event_id, " + ", ".join(f"CAST(extract({f} FROM ts) AS BIGINT) AS f_{f}" for f in _fields) + " FROM events")
 def dt01_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", *[T.part(f, F.col("ts")).alias(f"f_{f}") for f in _fields])
+    return table(spark, sf_dir, "events").select("event_id", *[T.part(f, F.col("ts")).cast("bigint").alias(f"f_{f}") for f in _fields])
+
+
+_at = "CAST(make_date(2024, 2, 29) AS TIMESTAMP) + to_microseconds(event_id * 7919017)"
+
+
+@plan(f"SELECT event_id, round(microsecond({_at}) / 1000000.0, 6) AS s, round(microsecond({_at}) / 1000.0, 3) AS ms, microsecond({_at}) AS us FROM events")
+def dt01_fractions(spark, sf_dir):
+    """Seconds and their parts keep their fractions."""
+    at = F.expr("TIMESTAMP_NTZ '2024-02-29 00:00:00' + make_dt_interval(0, 0, 0, CAST(event_id * 7919017 / 1000000 AS DECIMAL(18, 6)))")
+    return table(spark, sf_dir, "events").select("event_id", T.part("second", at).cast("double").alias("s"), T.part("milliseconds", at).cast("double").alias("ms"), T.part("microseconds", at).alias("us"))
 
 
 @plan("SELECT event_id, " + ", ".join(f"CAST(date_trunc('{f}', ts) AS TIMESTAMP) AS t_{f}" for f in ("year", "month", "day", "hour", "minute", "second")) + " FROM events")
@@ -409,7 +458,12 @@ json_rows("js13_strip_typeof", "(1, FALSE, 'object'), (2, FALSE, 'object'), (3,
 json_rows("js15_length_pretty", "(1, NULL, TRUE), (2, NULL, TRUE), (3, NULL, NULL), (4, NULL, NULL), (5, 2, TRUE)", n=lambda: F.json_array_length(D()), p=lambda: F.contains(J.json_pretty(D()), F.lit("\n")))
 json_rows("js20_path", "(1, '20,{\"c\": \"x\"}', '2', '[10, 20, {\"c\": \"x\"}]'), (2, '', '', NULL), (3, NULL, NULL, NULL), (4, NULL, NULL, NULL), (5, '', '', NULL)", last=lambda: F.array_join(J.path_query(D(), "$.a.b[1 to last]"), ","), size=lambda: F.array_join(J.path_query(D(), "$.tags.size()"), ","), first=lambda: J.path_query_first(D(), "$..b"))
 json_rows("js21_filter_vars", "(1, '20'), (2, ''), (3, NULL), (4, NULL), (5, '')", q=lambda: F.array_join(J.path_query(D(), "$.a.b[*] ? (@ > $min && @ < 100)", {"min": 15}), ","))
-both("js07_delete_key", "SELECT event_id, to_json(map_filter(from_json(props, 'map<string,string>'), (k, v) -> k <> 'k')) AS j FROM events", "SELECT event_id, '{}' AS j FROM events")
+both("js07_delete_key", "SELECT event_id, to_json(map_filter(from_json(props, 'map<string,variant>'), (k, v) -> k <> 'k')) AS j FROM events", "SELECT event_id, '{}' AS j FROM events")
+both(
+    "js07_delete_typed",
+    "SELECT o_orderkey, to_json(map_filter(from_json(to_json(named_struct('k', o_orderpriority, 'n', o_custkey, 'o', named_struct('z', o_orderstatus, 't', o_orderkey % 2 = 0))), 'map<string,variant>'), (k, v) -> k <> 'k')) AS j FROM orders",
+    "SELECT o_orderkey, CAST(json_object('n', o_custkey, 'o', json_object('t', o_orderkey % 2 = 0, 'z', o_orderstatus)) AS VARCHAR) AS j FROM orders",
+)
 both("js09_build", "SELECT r_regionkey, to_json(named_struct('k', r_regionkey, 'name', r_name)) AS o, to_json(array(r_regionkey, 1)) AS a FROM region", "SELECT r_regionkey, CAST(json_object('k', r_regionkey, 'name', r_name) AS VARCHAR) AS o, CAST(json_array(r_regionkey, 1) AS VARCHAR) AS a FROM region")
 edge("js10_null_on_null", "SELECT id, to_json(named_struct('l', label), map('ignoreNullFields', 'false')) AS n FROM EDGE", "SELECT id, CAST(json_object('l', label) AS VARCHAR) AS n FROM EDGE")
 edge("js11_value", "SELECT id, get_json_object(payload, '$.kind') AS k, CAST(get_json_object(payload, '$.n') AS BIGINT) AS n FROM EDGE", "SELECT id, json_extract_string(payload, '$.kind') AS k, CAST(json_extract_string(payload, '$.n') AS BIGINT) AS n FROM EDGE")
@@ -420,7 +474,79 @@ both("js22_json_table", """SELECT CAST(pos + 1 AS BIGINT) AS i, x.id, coalesce(x
 edge("js23_to_record", "SELECT id, r.kind, r.n FROM (SELECT id, from_json(payload, 'kind string, n int') AS r FROM EDGE)", "SELECT id, json_extract_string(payload, '$.kind') AS kind, CAST(json_extract_string(payload, '$.n') AS INTEGER) AS n FROM EDGE")
 
 
+_order_doc = "to_json(named_struct('k', o_custkey, 's', o_orderstatus, 'p', named_struct('q', o_orderpriority)))"
+
+
+@plan("SELECT o_orderkey, o_custkey::INTEGER AS k, 'none' AS missing, CASE o_orderstatus WHEN 'F' THEN -1 WHEN 'O' THEN -1 WHEN 'P' THEN -1 END AS bad, 'not scalar' AS deep, o_orderpriority AS q FROM orders")
+def js11_value_clauses(spark, sf_dir):
+    """JSON_VALUE with RETURNING, ON EMPTY and ON ERROR."""
+    d = F.expr(_order_doc)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", Q.json_value(d, "$.k", "int", on_error=Q.ERROR).alias("k"), Q.json_value(d, "$.x", on_empty="none").alias("missing"), Q.json_value(d, "$.s", "int", on_error=-1).alias("bad"), Q.json_value(d, "$.p", on_error="not scalar").alias("deep"), Q.json_value(d, "strict $.p.q").alias("q")
+    )
+
+
+@plan("""SELECT r_name, '[' || string_agg(n_nationkey, ', ' ORDER BY n_nationkey) || ']' AS bare, '[[' || string_agg(n_nationkey, ', ' ORDER BY n_nationkey) || ']]' AS wrapped, '[' || string_agg(n_nationkey, ', ' ORDER BY n_nationkey) || ']' AS each, '{}' AS nothing, NULL AS missing,
+  '{"r": "' || r_name || '", "ns": [' || string_agg(n_nationkey, ', ' ORDER BY n_nationkey) || ']}' AS whole FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+def js11_query(spark, sf_dir):
+    """JSON_QUERY with and without WRAPPER and ON EMPTY, and JSON_SERIALIZE."""
+    docs = sql(spark, sf_dir, "SELECT r_name, to_json(named_struct('ns', array_sort(collect_list(n_nationkey)), 'r', r_name)) AS d FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+    d = F.col("d")
+    return docs.select("r_name", Q.json_query(d, "$.ns").alias("bare"), Q.json_query(d, "$.ns", True).alias("wrapped"), Q.json_query(d, "$.ns[*]").alias("each"), Q.json_query(d, "$.x", on_empty="{}").alias("nothing"), Q.json_query(d, "$.x").alias("missing"), Q.json_serialize(d).alias("whole"))
+
+
+@plan("SELECT o_orderkey, o_orderstatus <> 'O' AS any_key, o_orderstatus = 'F' AS all_keys FROM orders")
+def js04_any_keys(spark, sf_dir):
+    """?| and ?&."""
+    docs = sql(spark, sf_dir, "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '{\"a\": 1, \"b\": null}' WHEN 'O' THEN '{\"c\": {\"a\": 1}}' ELSE '[\"b\", 2]' END AS d FROM orders")
+    return docs.select("o_orderkey", J.has_any_key(F.col("d"), "a", "b").alias("any_key"), J.has_all_keys(F.col("d"), "a", "b").alias("all_keys"))
+
+
+@plan("""SELECT p_partkey, '{"name":"' || p_name || '","brand":null}' AS n, '{"name":"' || p_name || '"}' AS a, '[' || p_size || ',"' || p_name || '",true]' AS absent, '[' || p_size || ',null,"' || p_name || '",true]' AS kept FROM part""")
+def js10_constructors(spark, sf_dir):
+    """JSON_OBJECT and JSON_ARRAY with NULL and ABSENT ON NULL."""
+    none = F.lit(None).cast("string")
+    items = F.col("p_size"), none, F.col("p_name"), F.lit(True)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", Q.json_object(name=F.col("p_name"), brand=none).alias("n"), Q.json_object(absent_on_null=True, unique_keys=True, name=F.col("p_name"), brand=none).alias("a"), Q.json_array(*items).alias("absent"), Q.json_array(*items, null_on_null=True).alias("kept")
+    )
+
+
+@plan("""SELECT r_regionkey, r_name AS name, 'none' AS note, TRUE AS has, dense_rank() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS no, n_nationkey AS id, n_name AS nation, -1 AS number, '{"nk": ' || n_nationkey || ', "nn": "' || n_name || '"}' AS item, x AS tag
+FROM nation JOIN region ON n_regionkey = r_regionkey, (VALUES ('s'), ('t')) AS t(x)""")
+def js22_table_operator(spark, sf_dir):
+    """JSON_TABLE over stored documents: paths, ordinality, EXISTS, defaults, FORMAT JSON, nested and sibling columns."""
+    regions = sql(spark, sf_dir, "SELECT r_regionkey, to_json(named_struct('r', r_name, 'ns', array_sort(collect_list(named_struct('nk', n_nationkey, 'nn', n_name))), 'tags', array('s', 't'))) AS d FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey, r_name")
+    nations = Q.Nested("$.ns[*]", (Q.Ordinality("no"), Q.Item("id", "int", "$.nk"), Q.Item("nation", "string", "$.nn"), Q.Item("number", "int", "$.nn", on_error=-1), Q.Item("item", "json", "$")))
+    rows = Q.json_table(regions, F.col("d"), "$", Q.Item("name", path="$.r"), Q.Item("note", on_empty="none"), Q.Exists("has", "$.ns[0]"), nations, Q.Nested("$.tags[*]", (Q.Item("tag", path="$"),)))
+    return rows.drop("d")
+
+
 # X: statements as DataFrames.
+@plan("SELECT n_nationkey AS r_regionkey, coalesce(nullif(n_name, 'CHINA'), 'unnamed') AS r_name, upper(n_name) AS up FROM nation WHERE n_regionkey = 2")
+def x01_returning(spark, sf_dir):
+    """INSERT ... SELECT ... RETURNING."""
+    rows = sql(spark, sf_dir, "SELECT n_nationkey AS r_regionkey, coalesce(nullif(n_name, 'CHINA'), 'unnamed') AS r_name, upper(n_name) AS up FROM nation WHERE n_regionkey = 2")
+    target = table(spark, sf_dir, "region").withColumn("up", F.lit("-"))
+    return R.insert_returning(target, rows, [F.col("r_regionkey"), F.col("r_name"), F.col("up")]).returning
+
+
+@plan("SELECT c_custkey, round(c_acctbal * 2, 2) AS doubled FROM customer WHERE c_mktsegment = 'BUILDING'")
+def x03_returning(spark, sf_dir):
+    """UPDATE ... RETURNING the new values."""
+    change = R.update_returning(table(spark, sf_dir, "customer"), {"c_acctbal": F.col("c_acctbal") * 2}, F.col("c_mktsegment") == "BUILDING", [F.col("c_custkey"), F.round("c_acctbal", 2).alias("doubled")])
+    return change.returning
+
+
+@plan("SELECT o_orderkey, 'high' AS why FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_orderkey, 'customer' FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def x04_returning(spark, sf_dir):
+    """DELETE ... RETURNING and DELETE ... USING ... RETURNING the rows that went."""
+    orders = table(spark, sf_dir, "orders")
+    poor = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    high = R.delete_returning(orders, F.col("o_totalprice") > 300000, [F.col("o_orderkey"), F.lit("high").alias("why")])
+    return high.returning.unionByName(R.delete_using_returning(orders, poor, ["o_custkey"], [F.col("o_orderkey"), F.lit("customer").alias("why")]).returning)
+
+
 @plan("SELECT r_regionkey, r_name FROM region UNION ALL VALUES (9, 'new'), (10, 'none')")
 def x01_insert(spark, sf_dir):
     rows = literal(spark, "(9, 'new')", "r_regionkey, r_name")
