@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,24 +32,31 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in class, id or role that mark a box as not main text, and words that mark a mere wrapper.
 BOX = re.compile(
-    r"(?:ads?(?:\d+|box|slot|unit|sense|block|banner|container|wrap|bygoogle)?|advert\w*|sponsor\w*|promo\w*|cookies?\w*|consent\w*|gdpr|notices?|notification\w*|alerts?|popups?|modals?|overlay|newsletter\w*|subscri\w*|signup|login"
-    r"|comments?\w*|disqus\w*|repl(?:y|ies)|respond|responses?|discussion|related\w*|recommend\w*|trending|breadcrumbs?|paginat\w*|pager|sidebars?|side|aside|nav|navbar|navigation|navi|menus?|menubar|topbar|toolbar|footers?|foot|masthead|banners?"
-    r"|social\w*|shar(?:e|ing)\w*|widgets?|search\w*|skip|copyright|disclaimer|contentinfo|complementary|dialog|hidden|offscreen|paywall|teasers?|outbrain|taboola)"
+    r"(?:ads?(?:\d+|box|slot|unit|sense|block|banner|container|wrap|bygoogle)?|advert(?:s|isements?|ising|isers?|orials?)?|sponsor(?:s|ed|ship)?|promo(?:s|ted|tions?|tional|box|bar)?|cookies?(?:bar|banner|box|consent|notice|policy|law)?|consent|gdpr"
+    r"|notices?|notifications?(?:bar)?|alerts?|popups?|modals?|overlay|newsletters?(?:box|form|signup)?|subscri(?:be|bers?|ption|ptions)(?:box|form)?|signup|login"
+    r"|comments?(?:\d+|area|authors?|body|box|content|count|form|items?|list|meta|section|text|threads?|wrap|wrapper)?|disqus(?:thread)?|repl(?:y|ies)|respond|responses?|discussion"
+    r"|related(?:articles?|content|items?|links?|news|posts?|stories)?|recommend(?:ed|ations?)|trending|breadcrumbs?|paginat(?:ion|or)|pager|sidebars?|side|aside|nav|navbar|navigation|navi|menus?|menubar|topbar|toolbar|footers?|foot|masthead|banners?"
+    r"|social(?:bar|buttons|icons|links|media|share|sharing)?|shar(?:e|ing)(?:bar|box|buttons?|links?|this)?|widgets?(?:area)?|search(?:bar|box|form)?|skip|copyright|disclaimer|contentinfo|complementary|dialog|hidden|offscreen|paywall|teasers?|outbrain|taboola)"
 )
 PAGE_HEADER = frozenset(["header", "head", "siteheader", "pageheader"])
 WRAPPER = frozenset("wrap wrapper layout container page site with has no without main content article".split())
-COMMENT = re.compile(r"comments?\w*|disqus\w*|repl(?:y|ies)|respond")
+COMMENT = re.compile(r"comments?(?:\d+|area|authors?|body|box|content|count|form|items?|list|meta|section|text|threads?|wrap|wrapper)?|disqus(?:thread)?|repl(?:y|ies)|respond")
 # Of the words of boxes those that also name parts of an article, elements that may be a box in an article, words beside them in the id of a box, and names of what isn't shown.
-AMBIGUOUS = re.compile(r"notices?|alerts?|promo\w*|sponsor\w*|responses?|discussion|related\w*|recommend\w*|trending|side|foot|banners?|social\w*|shar(?:e|ing)\w*|widgets?|search\w*|skip|copyright|disclaimer|overlay|dialog|menus?|teasers?|complementary")
+AMBIGUOUS = re.compile(r"notices?|alerts?|promo(?:s|ted|tions?|tional)?|sponsor(?:s|ed|ship)?|responses?|discussion|related(?:articles?|content|items?|links?|news|posts?|stories)?|recommend(?:ed|ations?)|trending|side|foot|banners?|social(?:media)?|shar(?:e|ing)|widgets?|search|skip|copyright|disclaimer|overlay|dialog|menus?|teasers?|complementary")
 CONTAINER = frozenset("center dd details div dl fieldset figure header hgroup li ol section table tbody td tr ul".split())
 PART = re.compile(r"\d+|area|bar|block|box|buttons?|container|form|inner|items?|links?|list|posts?|section|thread")
 UNSEEN = frozenset(["hidden", "offscreen", "visually-hidden"])
+# Boxes that pages leave open, and those of them that may stand around a whole page.
+LEFT_OPEN = frozenset("nav aside header footer form menu".split())
+AROUND = frozenset("nav header form".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 TOKEN = re.compile(r"[a-z0-9]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
+MAIN = re.compile(r"<(?:article|main|h1)\b", re.I)
+
 # The thresholds of the block rules, in characters and shares.
 SHORT, LONG, LINKS, STOP_LOW, STOP_HIGH = 70, 200, 0.2, 0.10, 0.20
 
@@ -122,6 +130,13 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, int]]:
             if link:
                 linked.append(text)
 
+    ends_of: dict[str, list[int]] = {}
+
+    def ends_after(tag: str, at: int) -> int:
+        if tag not in ends_of:
+            ends_of[tag] = [m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)]
+        return len(ends_of[tag]) - bisect(ends_of[tag], at)
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -170,6 +185,16 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, int]]:
                     break
         kind = _boxed(tag, attributes, articles > 0, any(x[0] == "pre" for x in stack))
         box, doubtful = kind == "hard", kind == "soft"
+        if box and tag in LEFT_OPEN:
+            same = [i for i, x in enumerate(stack) if x[0] == tag and x[1]]
+            if ends_after(tag, at) <= len(same):  # too few end tags: one before was left open, or this one is
+                if same:
+                    leave(same[0])
+                elif tag not in ("aside", "footer") or MAIN.search(page, at):
+                    box = False
+        if tag in ("main", "article") and not box and boxes and all(x[0] in AROUND for x in stack if x[1]):  # the boxes stand around the page
+            stack[:] = [(x[0], False, *x[2:]) for x in stack]
+            boxes = 0
         article = not box and (tag in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?(?:main|article)|itemprop\s*=\s*[\"']?articleBody", attributes)))
         if box or doubtful or article or tag in BLOCK:
             if box or doubtful:
@@ -196,7 +221,8 @@ def classify(found: list[tuple[str, float, bool, bool, int]], stop: frozenset[st
     as bad, and blocks inside it need no stop words to be good.  In a soft box a block that isn't short
     is good if it is long or has stop words and few links, and short blocks see no
     neighbours but those of the box.  A short block
-    without a decided neighbour on one side takes the label of the other side.
+    without a decided neighbour on one side takes the label of the other side.  An article
+    without a good block keeps all that stands in no soft box.
 
     Where no article is declared, stop words decide only on pages that have them:
     if no block is good by the first pass, or under STOP_LOW of the words of the
@@ -255,6 +281,8 @@ def classify(found: list[tuple[str, float, bool, bool, int]], stop: frozenset[st
     for i, (_, _, _, heading, _) in enumerate(found):  # a heading belongs to the text right after it
         if heading and first[i] == "short" and labels[i] == "bad" and i + 1 < len(found) and labels[i + 1] == "good":
             labels[i] = "good"
+    if declared and "good" not in labels:  # an article of links only is these links
+        return [inside and not box for _, _, inside, _, box in found]
     if not declared and "good" not in labels:
         rest = [x and (links == 0 or len(text) >= SHORT) for x, (text, links, *_) in zip(plain, found, strict=True)]
         if sum(len(text) for x, (text, *_) in zip(rest, found, strict=True) if x) >= SHORT:
@@ -275,7 +303,9 @@ def extract_pages(pages: DataFrame, *, languages: tuple[str, ...] = ("en", "de",
 
     Null or empty html, or no main text: empty text, 0.  Unclosed or crossing
     tags: an end tag closes up to its own start, one without a start does
-    nothing.  Null ids and urls stay; repeated rows stay; no rows: no rows; other
+    nothing; navigation, headers and forms without an end tag are no boxes (asides
+    and footers only if an article, main or h1 follows), and an article or main in a
+    navigation, header or form ends them.  Null ids and urls stay; repeated rows stay; no rows: no rows; other
     columns are ignored.  Pages are read whole, one at a time; no shuffle.
     """
     stop = frozenset(w for x in languages for w in STOP_WORDS[x].split())

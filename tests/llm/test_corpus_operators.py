@@ -837,3 +837,70 @@ def test_secrets_in_lines_written_by_hand(spark):
     found = [(r["doc_id"], rows[r["doc_id"]][1][r["start"] : r["end"]]) for r in got]
     right = {i for i, x in found if i < len(WITH_SECRET) and x == WITH_SECRET[i][1]}
     assert len(right) >= 20 and len(right) >= 0.9 * len(found)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>First.</p><div class='commentary'><p>{SENTENCE}</p></div><section class='shareholders'><p>So.</p></section><div class='socialism-essay'><p>And so.</p></div></article>", f"First. {SENTENCE} So. And so."),
+        (f"<article><p>First.</p><section id='response'><p>{SENTENCE}</p></section><div class='comments'><p>{SENTENCE}</p></div><div id='comment-12'>x</div></article>", f"First. {SENTENCE}"),
+        (f"<nav><a href=x>Home</a><a href=y>More</a><article><p>{SENTENCE}</p><p>Last.</p></article>", f"{SENTENCE} Last."),
+        (f"<nav><ul><li><a href=x>Home</a></ul><nav><a href=y>More</a></nav><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div>", f"Head {LONG.strip()} {LONG.strip()}"),
+        (f"<form action=x><main><p>{SENTENCE}</p></main><input><p>{LONG}</p></form>", SENTENCE),
+        (f"<aside><p>Note</p><a href=x>y</a><h1>Head</h1><p>{LONG}</p><p>{LONG}</p>", f"Head {LONG.strip()} {LONG.strip()}"),
+        (f"<article><p>{SENTENCE}</p></article><footer><p>{LONG}</p>", SENTENCE),
+        ("<article><p><a href=x>One link is the whole of it</a></p></article>", "One link is the whole of it"),
+        (f"<article lang=ru><p>{'Вчера вечером совет принял решение о строительстве моста. ' * 5}</p><p>Да.</p></article><p>{LONG}</p>", ("Вчера вечером совет принял решение о строительстве моста. " * 5).strip() + " Да."),
+    ],
+)
+def test_open_boxes_and_like_names(page, text):
+    assert html.main_text(page, STOP) == text
+
+
+def block_rules_plainly(blocks, stop):
+    """The two passes without mark-up, as the rules read: (text, share of links) in, the kept texts out."""
+    words = lambda t: html.LETTERS.findall(t.lower())
+    share = lambda t: sum(w in stop for w in words(t)) / len(words(t)) if words(t) else 0.0
+    first = []
+    for text, links in blocks:
+        if links > 0.2:
+            first.append("bad")
+        elif len(text) < 70:
+            first.append("bad" if links > 0 else "short")
+        elif share(text) >= 0.2:
+            first.append("good" if len(text) > 200 else "near")
+        else:
+            first.append("near" if share(text) >= 0.1 else "bad")
+
+    def decided(i, step, near):
+        j = i + step
+        while 0 <= j < len(first):
+            if first[j] in ("good", "bad") or near and first[j] == "near":
+                return first[j]
+            j += step
+
+    kept = []
+    for i, (text, _) in enumerate(blocks):
+        if first[i] == "good":
+            kept.append(text)
+        elif first[i] == "near" and "good" in (decided(i, -1, False), decided(i, 1, False)):
+            kept.append(text)
+        elif first[i] == "short":
+            sides = {decided(i, -1, False), decided(i, 1, False)} - {None}
+            if sides == {"good"} or len(sides) == 2 and "bad" not in (decided(i, -1, True), decided(i, 1, True)):
+                kept.append(text)
+    return kept
+
+
+def test_block_rules_by_the_plain_rules():
+    draw = random.Random(21)
+    stop, other = sorted(STOP), [f"zq{i}" for i in range(300)]
+    for _ in range(400):
+        found = []
+        for _ in range(draw.randrange(2, 12)):
+            rich = draw.choice([0.0, 0.05, 0.15, 0.4])
+            text = " ".join(draw.choice(stop if draw.random() < rich else other) for _ in range(draw.choice([2, 8, 20, 60])))
+            found.append((text, draw.choice([0.0, 0.0, 0.1, 0.5])))
+        found.insert(draw.randrange(len(found) + 1), (" ".join(stop * 2), 0.0))  # one block is good, so stop words do decide
+        got = [t for (t, _), x in zip(found, html.classify([(t, k, False, False, 0) for t, k in found], STOP), strict=True) if x]
+        assert got == block_rules_plainly(found, STOP)
