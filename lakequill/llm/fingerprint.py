@@ -97,16 +97,16 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     row of each range meet their neighbours in another, small step.
 
     Null text: empty; two empty texts are alike (1), and an empty one is unlike
-    any other (0).  Null doc_id: before all others.  Equal doc_ids: by text;
-    repeated rows follow each other.  One row: its own next.  No rows: no rows.
+    any other (0).  Null doc_id: before all others.  Equal doc_ids: by hash of
+    text, then text; repeated rows follow each other.  One row: its own next.  No rows: no rows.
     Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "fingerprint")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc()]
-    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # the sample that sets the ranges goes to the driver, so it must not hold texts
-    ranged = whole.repartitionByRange(max(2, partitions(docs.sparkSession)), order[0]).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("text").asc()]
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # the sample that sets the ranges goes to the driver, so it must not hold texts; the hash splits an id of many rows
+    ranged = whole.repartitionByRange(max(2, partitions(docs.sparkSession)), *order[:2]).sortWithinPartitions(*order).drop("hash")
     names = ["doc_id", "text", "part", "last", *[f.split()[0] for f in FIELDS.split(", ")]]
 
     def told(make: OrderMinHash, text: str, mark: np.ndarray, following: str, next_mark: np.ndarray) -> tuple:

@@ -12,6 +12,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SIGNS = "!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~0123456789"
 
 
+RESULT = ("doc_id", "size", "source_size", "target", "taken")
+
+
 def quality_weight(text: Column, least: float = 0.05) -> Column:
     """Share of the characters that are neither signs nor digits, at least ``least``."""
     text = F.coalesce(text, F.lit(""))
@@ -58,7 +61,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most:
     """How many words the mix takes of every document of ``docs`` (doc_id, text, source).
 
     Returns doc_id, size (words), source_size, target, taken, and the columns
-    named in ``payload``.  A source's budget is its target rounded to words.
+    named in ``payload``, but for those with the name of a result.  A source's budget is its target rounded to words.
     Complete epochs come first: every document once per epoch.  The rest goes to
     documents by falling Efraimidis-Spirakis key ``u ** (1 / weight)``, u a hash
     of doc_id and the seed, weight the document's quality; the document at the
@@ -78,8 +81,8 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most:
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.pow(uniform(F.col("doc_id"), seed), 1 / quality_weight(F.col("text")))
     sid = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))  # no nulls, so plain equality serves joins and windows alike
-    extra = [c for c in payload or [] if c not in ("doc_id", "source")]
-    sized = docs.select("doc_id", "source", sid.alias("sid"), words.alias("size"), key.alias("key"), *extra).withColumn("bucket", key_range(F.col("key"), buckets))
+    extra = [c for c in payload or [] if c not in RESULT]
+    sized = docs.select("doc_id", "source", sid.alias("sid"), words.alias("size"), key.alias("key"), *([F.struct(*[F.col(f"`{c}`") for c in extra]).alias("payload")] if extra else [])).withColumn("bucket", key_range(F.col("key"), buckets))
     sized = ws.keep(sized, "sized")
     targets = source_targets(ws, sized, weights, most)
     budget = F.floor(F.col("target") + 0.5).cast("bigint")
@@ -92,4 +95,4 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most:
     inside = Window.partitionBy("sid", "bucket").orderBy(F.col("key").desc(), F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
-    return at.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken"), *[c for c in payload or [] if c != "doc_id"])
+    return at.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("bigint").alias("taken"), *[F.col("payload")[c].alias(c) for c in extra])

@@ -904,3 +904,20 @@ def test_block_rules_by_the_plain_rules():
         found.insert(draw.randrange(len(found) + 1), (" ".join(stop * 2), 0.0))  # one block is good, so stop words do decide
         got = [t for (t, _), x in zip(found, html.classify([(t, k, False, False, 0) for t, k in found], STOP), strict=True) if x]
         assert got == block_rules_plainly(found, STOP)
+
+
+def test_mixing_payload_of_any_name(spark, corpus):
+    docs = spark.createDataFrame(corpus, DOCS).withColumns({c: F.lit("own") for c in ("size", "taken", "key", "bucket", "sid", "payload", "rest", "a.b")})
+    got = mixing.mix_sources(docs, payload=["text", "source", "size", "key", "bucket", "sid", "payload", "rest", "a.b"])
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "text", "source", "key", "bucket", "sid", "payload", "rest", "a.b"]
+    assert rows_of(got.select("doc_id", "size", "source_size", "target", "taken")) == rows_of(mixing.mix_sources(spark.createDataFrame(corpus, DOCS)))
+    assert {r["key"] + r["a.b"] for r in got.collect()} == {"ownown"}
+
+
+def test_fingerprint_ranges_split_a_repeated_id(spark):
+    rows = [(7, f"text {i}", "s") for i in range(200)] + [(None, f"none {i}", "s") for i in range(50)]
+    got = fingerprint.fingerprint_documents(spark.createDataFrame(rows, DOCS)).collect()
+    order = {r["text"]: r["h"] for r in spark.createDataFrame(rows, DOCS).select("text", F.xxhash64("text").alias("h")).collect()}
+    placed = sorted(rows, key=lambda r: (r[0] is not None, order[r[1]]))
+    want = collections.Counter(hashlib.sha256(fingerprint.edited_text(a[1], b[1]).encode()).hexdigest() for a, b in zip(placed, placed[1:] + placed[:1], strict=True))
+    assert collections.Counter(r["edited_sha256"] for r in got) == want
