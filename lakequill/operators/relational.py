@@ -128,8 +128,9 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: dict[str
     again = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) > 1
     for k in keys:
         again = again & F.col(k).isNotNull()
-    flag = F.when(again, F.raise_error(F.lit("ON CONFLICT DO UPDATE can't affect a row a second time")).cast("boolean")).otherwise(F.lit(True))
-    old, new = target.alias("old"), rows.withColumn("_new", flag).alias("new")
+    twice = F.when(F.col("_again"), F.raise_error(F.lit("ON CONFLICT DO UPDATE can't affect a row a second time")).cast("boolean")).otherwise(F.lit(True))
+    rows = rows.withColumn("_again", again).filter(twice).drop("_again")
+    old, new = target.alias("old"), rows.withColumn("_new", F.lit(True)).alias("new")
     joined = old.withColumn("_old", F.lit(True)).alias("old").join(new, keys, "full")
     out = []
     for c in target.columns:

@@ -17,6 +17,7 @@ from lakequill.functions import sqljson as Q
 from lakequill.functions import temporal as T
 from lakequill.operators import aggregates as A
 from lakequill.operators import relational as R
+from lakequill.operators import tables as TB
 from lakequill.operators.ordering import asc, desc
 from lakequill.operators.windows import global_ranks, over_groups
 from lakequill.sources import copy as C
@@ -749,3 +750,69 @@ def ud04_table_function(spark, sf_dir):
 
     spark.udtf.register("words_of", F.udtf(Words, returnType="word string"))
     return sql(spark, sf_dir, "SELECT p_partkey, w.word FROM part, LATERAL words_of(p_type) AS w")
+
+
+@plan("SELECT n_nationkey, E'tab\\there' || n_name AS e, '1011' AS b, 11 AS n, '10:20:30.5' AS t, 12345678901234567890::DECIMAL(20, 0) AS big FROM nation")
+def f22_more_literals(spark, sf_dir):
+    """E'', B'', TIME and integers beyond 64 bits: escapes, bits as text and number, a time of day as that of day 0, a decimal."""
+    return sql(spark, sf_dir, "SELECT n_nationkey, 'tab\\there' || n_name AS e, bin(conv('1011', 2, 10)) AS b, CAST(conv('1011', 2, 10) AS INT) AS n, date_format(TIMESTAMP_NTZ '1970-01-01 10:20:30.5', 'HH:mm:ss.S') AS t, CAST(12345678901234567890 AS DECIMAL(20, 0)) AS big FROM nation")
+
+
+@plan("SELECT o_orderkey, 100 + 5 * (row_number() OVER (ORDER BY o_orderkey) - 1) AS id, 100 + 5 * (count(*) OVER () - 1) AS last FROM orders")
+def n04_nextval(spark, sf_dir):
+    """nextval by order of the key and currval after it, with START and INCREMENT."""
+    ids = TB.nextval(table(spark, sf_dir, "orders").select("o_orderkey"), [F.col("o_orderkey").asc()], "id", 100, 5)
+    return ids.crossJoin(F.broadcast(TB.currval(ids, "id").withColumnRenamed("currval", "last")))  # one row
+
+
+@plan("SELECT o_orderkey, unnest(['f', 'k', 'p']) AS key, unnest([CAST(o_orderkey % 2 = 0 AS VARCHAR), CAST(o_custkey AS VARCHAR), '{\"q\":\"' || o_orderpriority || '\"}']) AS value FROM orders")
+def js19_each_json(spark, sf_dir):
+    """json_each: values keep their JSON types."""
+    return sql(spark, sf_dir, "SELECT o_orderkey, key, to_json(value) AS value FROM orders, LATERAL explode(from_json(to_json(named_struct('k', o_custkey, 'f', o_orderkey % 2 = 0, 'p', named_struct('q', o_orderpriority))), 'map<string,variant>')) AS t(key, value)")
+
+
+@plan("SELECT c_custkey AS id, c_name AS name, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS segment, round(c_acctbal * 100)::BIGINT AS cents, 'new' AS state FROM customer WHERE c_acctbal > 0 UNION ALL SELECT -1, 'x', 'none', 0, 'old'")
+def x06_constraints(spark, sf_dir):
+    """CREATE TABLE with NOT NULL, PRIMARY KEY, UNIQUE, CHECK, DEFAULT, GENERATED and a domain; INSERT keeps them."""
+    cents = TB.Domain("cents", "bigint", lambda v: v >= 0)
+    made = TB.Table(
+        (TB.Field("id", "bigint"), TB.Field("name", "string", not_null=True), TB.Field("raw", "string"), TB.Field("segment", "string", generated="coalesce(raw, 'none')"), TB.Field("cents", cents, F.lit(0)), TB.Field("state", "string", F.lit("new"))),
+        primary_key=("id",),
+        unique=(("name",),),
+        checks={"known_state": "state IN ('new', 'old')", "short": "length(name) < 100"},
+    )
+    first = made.insert(made.empty(spark), spark.createDataFrame([(-1, "x", "old")], "id bigint, name string, state string"))
+    rows = sql(spark, sf_dir, "SELECT c_custkey AS id, c_name AS name, nullif(c_mktsegment, 'BUILDING') AS raw, round(c_acctbal * 100) AS cents FROM customer WHERE c_acctbal > 0")
+    return made.insert(first, rows).drop("raw")
+
+
+@plan("SELECT c_custkey, c_name FROM customer WHERE lower(c_mktsegment) = 'building' AND c_nationkey BETWEEN 5 AND 9")
+def x08_expression_index(spark, sf_dir):
+    """A UNIQUE index on an expression and two columns, as layout."""
+    customer = sql(spark, sf_dir, "SELECT c_custkey, c_name, c_mktsegment, c_nationkey FROM customer")
+    made = TB.index_layout(customer, C.staging_path(spark, "index"), {"segment": F.lower("c_mktsegment"), "c_nationkey": F.col("c_nationkey"), "c_custkey": F.col("c_custkey")}, unique=True)
+    return made.filter("segment = 'building' AND c_nationkey BETWEEN 5 AND 9").select("c_custkey", "c_name")
+
+
+@plan("SELECT p_partkey, p_size AS size FROM part")
+def x09_domain(spark, sf_dir):
+    """CREATE DOMAIN ... CHECK, as a cast."""
+    return table(spark, sf_dir, "part").select("p_partkey", TB.Domain("size", "int", lambda v: v.between(1, 1000), True).cast(F.col("p_size")).alias("size"))
+
+
+@plan("SELECT 'k' AS col_name, 'the key' AS comment UNION ALL SELECT 'n', 'its name'")
+def x11_column_comment(spark, sf_dir):
+    """COMMENT ON COLUMN, on a view's columns."""
+    table(spark, sf_dir, "region").createOrReplaceTempView("region")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW commented (k COMMENT 'the key', n COMMENT 'its name') AS SELECT r_regionkey, r_name FROM region")
+    return spark.sql("DESCRIBE TABLE commented").select("col_name", "comment")
+
+
+@plan("SELECT 'Asia/Tokyo' AS zone, 'default' AS schema, 9 AS hours")
+def x13_set_show(spark, sf_dir):
+    """SET, SHOW and USE: a session's settings, on a session of their own."""
+    own = spark.newSession()
+    own.sql("SET TIME ZONE 'Asia/Tokyo'")
+    own.sql("USE default")
+    row = own.sql("SELECT current_timezone() AS zone, current_schema() AS schema, hour(CAST(TIMESTAMP '2024-01-01 00:00:00 UTC' AS TIMESTAMP_NTZ)) AS hours").collect()
+    return spark.createDataFrame(row, "zone string, schema string, hours int")

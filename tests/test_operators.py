@@ -10,6 +10,7 @@ from lakequill.functions import scalars as S
 from lakequill.functions import sqljson as Q
 from lakequill.functions import temporal as T
 from lakequill.operators import relational as R
+from lakequill.operators import tables as TB
 from lakequill.operators.ordering import asc, desc
 from lakequill.operators.windows import global_ranks, over_groups
 
@@ -222,3 +223,35 @@ def test_session_facts(spark):
 
     (row,) = QUERIES["n03_session"](spark, "").collect()
     assert row["version"].startswith(spark.version) and row["database"] == "default" and row["user"]
+
+
+def test_declared_tables(spark):
+    made = TB.Table((TB.Field("id", "int"), TB.Field("v", "string", F.lit("d"), not_null=True), TB.Field("w", "int", generated="length(v)"), TB.Field("p", TB.Domain("pos", "int", lambda x: x > 0))), ("id",), (("p",),), {"short": "w < 4"})
+    rows = lambda *r, of="id int, v string, p int": spark.createDataFrame(list(r), of)
+    one = made.insert(made.empty(spark), rows((1, "ab", None), (2, "c", 5)))
+    two = made.insert(one, rows((3, None), of="id int, p int"))
+    assert sorted(values(two)) == [(1, "ab", 2, None), (2, "c", 1, 5), (3, "d", 1, None)]
+    for bad, message in (((None, "a", None), "not-null"), ((4, None, None), "not-null"), ((4, "long", None), "short"), ((4, "a", -1), "domain pos"), ((2, "a", None), "unique constraint on id"), ((4, "a", 5), "unique constraint on p")):
+        with pytest.raises(Exception, match=message):
+            made.insert(two, rows(bad)).collect()
+
+
+def test_sequences_and_unique_indexes(spark, tmp_path):
+    df = spark.createDataFrame([(k,) for k in (5, 1, 9, 3, 7)], "k int")
+    ids = TB.nextval(df, [F.col("k").asc()], "id", 10, -2)
+    assert sorted(values(ids)) == [(1, 10), (3, 8), (5, 6), (7, 4), (9, 2)]
+    assert values(TB.currval(TB.nextval(df.limit(0), [F.col("k").asc()]))) == [(None,)]
+    with pytest.raises(Exception, match="unique index"):
+        TB.index_layout(df, str(tmp_path / "i"), {"m": F.col("k") % 2}, unique=True)
+    stored = TB.index_layout(df, str(tmp_path / "j"), {"m": F.col("k") % 4, "k": F.col("k")})
+    assert sorted(values(stored.filter("m = 1"), "k")) == [(1,), (5,), (9,)]
+
+
+def test_lax_set_and_keys(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": null}',), ('["a", 1]',), ('"a"',), (None,)], "d string")
+    d = F.col("d")
+    assert values(df, J.has_any_key(d, "a", "z"), J.has_all_keys(d, "a", "b")) == [(True, True), (True, False), (True, False), (None, None)]
+    one = df.limit(1)
+    assert values(one, J.json_set_lax(d, ["a"], None), J.json_set_lax(d, ["a"], None, null="delete_key"), J.json_set_lax(d, ["a"], None, null="return_target")) == [('{"a": null, "b": null}', '{"b": null}', '{"a": 1, "b": null}')]
+    with pytest.raises(ValueError, match="null"):
+        J.json_set_lax(d, ["a"], None, null="raise_exception")
