@@ -921,3 +921,17 @@ def test_fingerprint_ranges_split_a_repeated_id(spark):
     placed = sorted(rows, key=lambda r: (r[0] is not None, order[r[1]]))
     want = collections.Counter(hashlib.sha256(fingerprint.edited_text(a[1], b[1]).encode()).hexdigest() for a, b in zip(placed, placed[1:] + placed[:1], strict=True))
     assert collections.Counter(r["edited_sha256"] for r in got) == want
+
+
+def test_hot_bands_are_compared_by_second_bands(spark, corpus, monkeypatch):
+    """Documents with one common passage: bands of its own values are split, and no link between them is lost."""
+    draw = random.Random(22)
+    passage, rows = prose(draw, 120, 3000), list(corpus)
+    for k in range(40):
+        text = f"{passage} {prose(draw, 60, 3000)}"
+        rows += [(1000 + 2 * k, text, "s"), (1001 + 2 * k, f"{text} v", "s")]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = rows_of(ngramjoin.join_near(docs))
+    assert all((r[1], r[2]) == (r[0] - r[0] % 2, 1) for r in want if r[0] >= 1000)
+    monkeypatch.setattr(ngramjoin, "HOT_BAND", 6)
+    assert rows_of(ngramjoin.join_near(docs)) == want
