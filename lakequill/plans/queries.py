@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -808,6 +809,22 @@ def x11_column_comment(spark, sf_dir):
     return spark.sql("DESCRIBE TABLE commented").select("col_name", "comment")
 
 
+@plan("SELECT 'restrict' AS how, FALSE AS dropped UNION ALL SELECT 'cascade', TRUE")
+def x11_drop_restrict(spark, sf_dir):
+    """DROP SCHEMA refuses one that holds something, unless it cascades."""
+    spark.sql("CREATE SCHEMA IF NOT EXISTS lakequill_full")
+    spark.sql("CREATE OR REPLACE VIEW lakequill_full.one AS SELECT 1 AS one")
+    done = []
+    for how in ("restrict", "cascade"):
+        try:
+            spark.sql(f"DROP SCHEMA lakequill_full {how}")
+        except AnalysisException:
+            done.append((how, False))
+        else:
+            done.append((how, True))
+    return spark.createDataFrame(done, "how string, dropped boolean")
+
+
 @plan("SELECT 'Asia/Tokyo' AS zone, 'default' AS schema, 9 AS hours")
 def x13_set_show(spark, sf_dir):
     """SET, SHOW and USE: a session's settings, on a session of their own."""
