@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from math import log2
 
 import numpy as np
@@ -257,12 +258,19 @@ def vote(forest: list[tuple[np.ndarray, np.ndarray, np.ndarray]], x: np.ndarray)
 
 
 def fit_secrets(findings: list[tuple[str, str, str, str, str, int]] | None = None, *, words: list[str] = WORDS, **how) -> list:
-    """A forest from labelled findings, by default those of :func:`labelled_findings`."""
-    findings, describe = findings or labelled_findings(), Describe(words)
+    """A forest from labelled findings, by default those of :func:`labelled_findings` (grown once in a process)."""
+    if not findings:
+        return _ruled(tuple(words), tuple(sorted(how.items())))
+    describe = Describe(words)
     x = np.array([describe(*f[:5]) for f in findings])
     return grow_forest(x, np.array([f[5] for f in findings]), **how)
 
 
+@cache
+def _ruled(words: tuple[str, ...], how: tuple) -> list:
+    return fit_secrets(labelled_findings(), words=list(words), **dict(how))
+
+
 def scan_secrets(docs: DataFrame, forest: list, *, path: str = "source", report: float = REPORT, words: list[str] = WORDS) -> DataFrame:
     """Findings in ``docs`` (doc_id, text, and a path column): one row for each secret.
 
