@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, prefix_sums
 
 # The words of the query contracts, and signs and digits that count against a document's quality.
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, BETWEEN, BLANKS = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]", " \t\n\x0b\x0c\r"
 SIGNS = "!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~0123456789"
 
 
@@ -18,7 +18,8 @@ RESULT = ("doc_id", "size", "source_size", "target", "taken")
 def quality_weight(text: Column, least: float = 0.05) -> Column:
     """Share of the characters that are neither signs nor digits, at least ``least``."""
     text = F.coalesce(text, F.lit(""))
-    share = F.length(F.translate(text, SIGNS, "")) / F.length(text)
+    signs = "".join(c if c.isalnum() else f"\\{c}" for c in SIGNS)
+    share = (F.length(text) - F.length(F.regexp_replace(text, f"[^{signs}]++", ""))) / F.length(text)
     return F.when(F.length(text) == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(least), share))
 
 
@@ -78,7 +79,8 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most:
     are documents of their own.  No rows: no rows.  Other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "mixing")
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    # one letter is left for each word, so no array of words is made; what stands at the ends is trimmed
+    words = F.coalesce(F.length(F.regexp_replace(F.btrim("text", F.lit(BLANKS)), f"{BETWEEN}*+{WORD}+", "x")), F.lit(0)).cast("bigint")
     key = F.pow(uniform(F.col("doc_id"), seed), 1 / quality_weight(F.col("text")))
     sid = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))  # no nulls, so plain equality serves joins and windows alike
     extra = [c for c in payload or [] if c not in RESULT]
