@@ -33,7 +33,7 @@ LENGTH, SEED = 20, 8
 #: Bytes of text in a chunk on average, if the number of chunks isn't given.
 CHUNK_BYTES = 32 << 20
 #: Occurrences of an anchor that meet in one task at most.
-HOT = 512
+HOT = 128
 ANCHORS = LENGTH - SEED + 1
 
 
@@ -119,7 +119,7 @@ class Chunk:
         return distinct, np.minimum(np.bincount(where, counts, len(distinct)), 65535).astype(np.uint16)
 
     def occurrences(self, keys: np.ndarray, hot: np.ndarray, words: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Occurrences of the repeated anchors ``keys`` that aren't hot, by anchor (value, row, place, left and right words if asked), and windows of hot ones (hash pair, row, place), by place."""
+        """Occurrences of the repeated anchors ``keys`` that aren't hot, by anchor (value, row, place, and if asked the words on the left and on the right, 48 bits each), and windows of hot ones (hash pair, row, place), by place."""
         seeds, windows = [], []
         steps = self.length - self.seed
         for at, first, word, (i, row, least), (p, value) in self.each():
@@ -128,9 +128,13 @@ class Chunk:
             where = np.searchsorted(first, p, "right") - 1
             parts = [value, at + where, p - first[where]]
             if words:
-                bits = np.concatenate((np.maximum(word >> np.uint64(16), np.uint64(1)), np.zeros(1, np.uint64)))  # 48 bits of a word, and 0 for none
-                before, after = p[:, None] - np.arange(1, steps + 1), p[:, None] + np.arange(self.seed, self.length)
-                parts += [bits[np.where(before >= first[where][:, None], before, len(word))], bits[np.where(after < first[where + 1][:, None], after, len(word))]]
+                bits = np.concatenate((np.maximum(word >> np.uint64(16), np.uint64(1)), np.zeros(1, np.uint64))).view(np.uint16).reshape(-1, 4)[:, :3]  # 0 for none
+                beside = np.empty((len(p), 2 * steps, 3), np.uint16)
+                for k in range(steps):
+                    before, after = p - 1 - k, p + self.seed + k
+                    beside[:, k] = bits[np.where(before >= first[where], before, len(word))]
+                    beside[:, steps + k] = bits[np.where(after < first[where + 1], after, len(word))]
+                parts.append(beside)
             seeds.append(parts)
             k = _among(keys, least)
             of = np.flatnonzero((k >= 0) & hot[k])
@@ -138,11 +142,15 @@ class Chunk:
                 i, row = i[of], row[of]
                 other = self.b.sums(mix(word + np.uint64(7)))
                 windows.append([self.a.between(self.a.sums(word), i, i + self.length), self.b.between(other, i, i + self.length), at + row, i - first[row]])
-        none = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2, *[np.zeros((0, steps), np.uint64)] * 2][: 5 if words else 3]
-        seeds = [np.concatenate(x) for x in zip(none, *seeds, strict=True)]
-        order = np.argsort(seeds[0], kind="stable")
+        none = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2, np.zeros((0, 2 * steps, 3), np.uint16)][: 4 if words else 3]
+        order = np.argsort(np.concatenate([none[0], *[x[0] for x in seeds]]), kind="stable")
+        out = []
+        for k, x in enumerate(none):
+            out.append(np.concatenate([x, *[part[k] for part in seeds]])[order])
+            for part in seeds:
+                part[k] = None  # held once
         none = [*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 2]
-        return [x[order] for x in seeds], [np.concatenate(x) for x in zip(none, *windows, strict=True)]
+        return out, [np.concatenate(x) for x in zip(none, *windows, strict=True)]
 
 
 def _among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -247,8 +255,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, c
         if not docs.num_rows:
             return _ask(SEEDS, 0, np.zeros(0, np.uint64), buckets, dict.fromkeys(ASK, np.zeros(0, np.uint64)))
         chunk, number = Chunk(docs, length, seed), docs.column("chunk")[0].as_py()
-        (value, row, at, left, right), (h, h2, of, start) = chunk.occurrences(*known(replies), True)
-        words = np.concatenate((left, right), 1).view(np.uint16).reshape(len(value), 2 * (length - seed), 4)[:, :, :3]  # 48 bits each
+        (value, row, at, words), (h, h2, of, start) = chunk.occurrences(*known(replies), True)
         seeds = _ask(SEEDS, number, value, buckets, {"keys": value, "words": words, "ids": chunk.ids[row], "row": row.astype(np.int32), "place": at.astype(np.int32)})
         f, _ = first_of_each(h, h2)
         windows = _ask(WINDOWS, number, h[f], buckets, {"keys": h[f], "words": (h2[f] >> np.uint64(32)).astype(np.uint32), "ids": chunk.ids[of[f]], "row": of[f].astype(np.int32), "place": start[f].astype(np.int32)})
