@@ -107,7 +107,8 @@ class Chunk:
                     pad = np.zeros(steps, np.uint64)
                     top = sliding(np.concatenate((pad, np.where(valid, least, 0), pad)), steps + 1, np.maximum)
                     p = np.flatnonzero(top == grams)  # a gram that is least in some window
-                    yield at, first, word, (i, row, least[i]), (p, grams[p])
+                    # the least of several hashes are small, so they are mixed again before they are dealt into ranges
+                    yield at, first, word, (i, row, mix(least[i])), (p, mix(grams[p]))
                 at += s.num_rows
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
