@@ -232,7 +232,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED, c
     """
     spark = docs.sparkSession
     n = chunks or max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
-    buckets = 4 * n
+    buckets = n  # a chunk sends a row to each at most
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 33)  # 31 bits, and chunks are ranges of them: the order of rows with one doc_id is that of place in any number of chunks
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("place", place).withColumn("chunk", F.shiftright(F.col("place") * n, 31).cast("int"))
 

@@ -930,3 +930,15 @@ def test_hot_bands_are_compared_by_second_bands(spark, monkeypatch):
     monkeypatch.setattr(ngramjoin, "HOT_BAND", 6)
     got = ngramjoin.join_near(spark.createDataFrame(rows, DOCS)).select("doc_id", "class_id", "n_links")
     assert rows_of(got) == [(r[0], r[0] - r[0] % 2, 1) for r in rows]
+
+
+def test_anchors_are_dealt_evenly():
+    """The least of many hashes are small; buckets must not be."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = random.Random(23)
+    docs = pa.table({"doc_id": pa.array(range(40)), "place": pa.array([0] * 40), "text": pa.array([prose(draw, 800, 9000) for _ in range(40)])})
+    keys, counts = substring.Chunk(docs, 20, 8).anchors()
+    per = np.bincount(substring.bucket_of(keys, 16), minlength=16)
+    assert len(keys) > 3000 and (np.diff(keys.astype(object)) > 0).all() and counts.min() >= 1 and per.max() < 1.3 * per.mean()
