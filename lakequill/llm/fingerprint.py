@@ -42,17 +42,20 @@ class OrderMinHash:
         if not n:
             return out
         sums = self.rolling.sums((points + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        start = np.arange(max(1, n - self.k + 1))
-        h = self.rolling.between(sums, start, np.minimum(start + self.k, n))
-        ordered = np.sort(h)
+        k = min(self.k, n)
+        h = mix((sums[k:] - sums[:-k]) * self.rolling.down[: n - k + 1])
         key = mix(h)
-        if (ordered[1:] == ordered[:-1]).any():
-            by = np.argsort(h, kind="stable")
-            same = np.concatenate(([False], h[by][1:] == h[by][:-1]))
-            at = np.arange(len(h))
-            number = np.empty(len(h), np.uint64)
-            number[by] = at - np.maximum.accumulate(np.where(same, 0, at))
-            key = mix(h + number * np.uint64(0xD1B54A32D192ED03))
+        ordered = np.sort(h)
+        again = ordered[1:][ordered[1:] == ordered[:-1]]
+        if len(again):  # only k-mers that occur again have a number
+            at = np.searchsorted(again, h)
+            some = np.flatnonzero(again[np.minimum(at, len(again) - 1)] == h)
+            by = np.argsort(h[some], kind="stable")
+            same = np.concatenate(([False], h[some][by][1:] == h[some][by][:-1]))
+            each = np.arange(len(some))
+            number = np.empty(len(some), np.uint64)
+            number[by] = each - np.maximum.accumulate(np.where(same, 0, each))
+            key[some] = mix(h[some] + number * np.uint64(0xD1B54A32D192ED03))
         place, low = np.arange(len(key)), len(key) // self.entries
         if low > 24:  # the least of each range lie below a bound; should a range have too few there, all are sorted
             within = key & np.uint64((1 << int(self.shift)) - 1)
