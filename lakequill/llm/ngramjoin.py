@@ -354,10 +354,10 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     null doc_id stay, and all columns, whatever their names.
     """
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), "text", blank.alias("blank"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), blank.alias("blank"))
     classes = join_near(docs.filter(~blank | F.col("doc_id").isNull()), **how).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("kept")).distinct()
     first = rows.filter("blank").agg(F.min("id").alias("kept"))  # one row
     kept = rows.filter("not blank").join(classes, F.col("id").cast("bigint") == F.col("kept"), "left_semi")
     kept = kept.unionByName(rows.filter("blank").join(F.broadcast(first), F.col("id") == F.col("kept"), "left_semi"))
-    kept = kept.withColumn("number", F.row_number().over(Window.partitionBy("id").orderBy("blank", "text"))).filter("number = 1")
+    kept = kept.withColumn("number", F.row_number().over(Window.partitionBy("id").orderBy("blank", "row.text"))).filter("number = 1")
     return kept.select("row.*").unionByName(rows.filter("id is null").select("row.*"))
